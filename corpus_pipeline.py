@@ -1,8 +1,44 @@
-"""Corpus preparation: toxicity, quality, near duplicates, packing."""
+"""Corpus preparation: toxicity, quality, near duplicates, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents, with the rows that they keep; the last
+returns the sequences. A stage's models are fitted on the labelled rows among its own input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kugiri.llm import core, jaccard, packing, quality_fm, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, core.table(spark, sf_dir, "labels"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_fm.keep_good(docs, core.table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that pairs of near duplicates connect, the least doc_id stays. Rows that are in no pair stay, those with a null doc_id among them."""
+    copies = jaccard.groups(jaccard.jaccard_join(docs)).select(F.col("doc_id").alias("copy"))
+    return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near duplicates", drop_copies), ("packing", pack)]
+#: The classifiers and the curve are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = core.table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = core.written(docs)
+    return docs

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard
+from . import bpe, jaccard, lm_compress, packing, quality_fm, quality_rules, toxicity
 
-QUERIES = {"op5_jaccard_join": jaccard.op5_jaccard_join}
+QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op4_quality": quality_fm.op4_quality,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_lm_score": lm_compress.op7_lm_score,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_packing": packing.op9_packing,
+}
 ORACLE = {"op5_jaccard_join": jaccard.SQL}
