@@ -17,6 +17,7 @@ from .operators import evaluate, filters, predict, segment, train
 from .operators.model import Model, TagModel, dump_dictionary, load_dictionary
 from .plans import pipeline
 from .sources import binary, text
+from .sources.tables import table
 from .streaming import stream
 
 QUERIES: dict = {}
@@ -35,10 +36,6 @@ SPEC = Model(
 )
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
