@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table  # noqa: F401
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -136,10 +138,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
     """At most rows labelled documents, in the order of a hash of doc_id: (doc_id, text, lang, source, y). A document whose labels disagree has the larger one. Only the labels drawn, a number that rows bounds, are broadcast."""
     picked = (
