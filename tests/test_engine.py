@@ -77,7 +77,7 @@ def test_scores_against_the_definition(spark):
 
 def test_both_forms_agree(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["the nation the que. 12 é", "e", "on on on", "zz"])], "doc_id long, text string")
-    a = {(r.doc_id, r.b, r.score) for r in predict.exploded_scores(df, LATIN.tables(spark), LATIN.bias, 3, 3).collect()}
+    a = {(r.doc_id, r.b, r.score) for r in predict.exploded_scores(df, LATIN.tables(spark), LATIN.bias, LATIN.char_window, LATIN.type_window).collect()}
     b = {(r.doc_id, r.b, r.score) for r in df.select("doc_id", F.posexplode(predict.scores(spark, LATIN, F.col("text"))).alias("b", "score")).collect()}
     assert a == b
 
