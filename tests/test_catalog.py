@@ -33,5 +33,5 @@ def test_query(spark, sf_dir, name):
     con = duckdb.connect()
     for t in ("documents", "conversations", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet/*.parquet'")
-    got, want = plain(catalog.QUERIES[name](spark, sf_dir).toArrow()), plain(con.execute(catalog.ORACLE[name]).fetch_arrow_table())
+    got, want = plain(catalog.QUERIES[name](spark, sf_dir).toArrow()), plain(con.sql(catalog.ORACLE[name]).to_arrow_table())
     assert got == want
