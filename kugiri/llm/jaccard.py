@@ -33,6 +33,7 @@ SMALL = 32
 #: Fine hash ranges of about PER_CELL grams each, of which every larger set is filed under the first CELLS.
 PER_CELL, CELLS = 2, 28
 LEAF = 16
+GROUPS = 16384
 U = np.uint64
 
 
@@ -60,25 +61,134 @@ def cells(g: np.ndarray, threshold: float) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
+def point(g: np.ndarray) -> np.ndarray:
+    """Counts of the grams in groups, two to four groups a gram, GROUPS at most: of sets with little in common most of the mass falls apart."""
+    bits = min(len(g).bit_length() + 1, GROUPS.bit_length() - 1)
+    return narrow(np.bincount((g >> U(32)).astype(np.int64) & ((1 << bits) - 1), minlength=1 << bits))
+
+
+def narrow(count: np.ndarray) -> np.ndarray:
+    return count.astype(np.uint8 if count.max() < 256 else np.int32)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """A point as bytes: two counts a byte where they are below 16."""
+    if p.max() < 16:
+        return b"4" + (p[::2] | p[1::2] << 4).astype(np.uint8).tobytes()
+    return (b"8" if p.dtype == np.uint8 else b"W") + p.tobytes()
+
+
+def unpacked(raw: memoryview) -> np.ndarray:
+    kind = raw[0]
+    if kind != ord("4"):
+        return np.frombuffer(raw[1:], dtype=np.uint8 if kind == ord("8") else np.int32)
+    two = np.frombuffer(raw[1:], dtype=np.uint8)
+    return np.column_stack([two & 15, two >> 4]).ravel()
+
+
+def folded(p: np.ndarray, n: int) -> np.ndarray:
+    return p if len(p) == n else narrow(p.reshape(-1, n).sum(axis=0, dtype=np.int64))
+
+
+class Roots:
+    """Connected sets of rows: each row's root, the smaller part relabelled at each union."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members = {i: [i] for i in range(n)}
+
+    def one(self, a: np.ndarray, b: np.ndarray) -> bool:
+        r = self.of[a[0]]
+        return bool((self.of[a] == r).all() and (self.of[b] == r).all())
+
+    def union(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = self.of[i] != self.of[j]
+        for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+            x, y = self.of[x], self.of[y]
+            if x != y:
+                if len(self.members[x]) < len(self.members[y]):
+                    x, y = y, x
+                moved = self.members.pop(y)
+                self.of[moved] = x
+                self.members[x] += moved
+
+
+def bounded(points: list[np.ndarray], totals: np.ndarray, threshold: float, joined: Roots | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of rows, paired, whose summed minima reach the overlap that the threshold needs. Points of unlike numbers of groups are folded to the fewest."""
+    if len(points) == 2:
+        n = min(map(len, points))
+        if np.minimum(*(folded(p, n) for p in points)).sum(dtype=np.int64) >= least_overlap(*totals, threshold):
+            yield np.array([0]), np.array([1])
+        return
+    # sets within reach of one another are of the same or of neighbouring classes of size
+    reach = np.floor(np.log(totals) / np.log(1 / threshold) + 1e-9).astype(np.int64) if threshold < 1 else totals
+    for c in np.unique(reach):
+        rows = np.flatnonzero((reach == c) | (reach == c + 1))
+        if len(rows) > 1:
+            own = reach[rows] == c
+            n = min(len(points[r]) for r in rows)
+            tree = Tree(np.stack([folded(points[r], n) for r in rows]), totals[rows])
+            local = None
+            if joined:
+                local = Roots(len(rows))
+                _, group = np.unique(joined.of[rows], return_inverse=True)
+                head = np.zeros(group.max() + 1, dtype=np.int64)
+                head[group[::-1]] = np.arange(len(rows))[::-1]
+                local.union(head[group], np.arange(len(rows)))
+            for i, j in tree.pairs(threshold, local):
+                keep = own[i] | own[j]
+                if local:
+                    local.union(i, j)
+                yield rows[i[keep]], rows[j[keep]]
+
+
+def binaries(values: pa.Array) -> list[memoryview]:
+    """The values of a binary array, not copied."""
+    if not len(values):
+        return []
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    data = memoryview(values.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(doc_a, doc_b): what connects the documents of each cell whose pairs the points leave, a tree of edges to the least of each connected part."""
+    for batch in batches:
+        out: tuple[list, list] = ([], [])
+        for i in range(batch.num_rows):
+            part = batch.column(0)[i].values
+            ids, totals = part.field(0).to_numpy(), part.field(1).to_numpy()
+            roots = Roots(len(ids))
+            for a, b in bounded([unpacked(x) for x in binaries(part.field(2))], totals, threshold, roots):
+                roots.union(a, b)
+            for rows in roots.members.values():
+                if len(rows) > 1:
+                    own = np.sort(ids[rows])
+                    out[0].append(np.full(len(own) - 1, own[0]))
+                    out[1].append(own[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x])) for x in out], ["doc_a", "doc_b"])
+
+
 def sets(batches: Iterator[pa.RecordBatch], threshold: float, with_cells: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, set hash in two halves, cells) or (doc_id, grams) of each document that has grams."""
+    """(doc_id, set hash in two halves, cells, size, point) or (doc_id, set hash, grams) of each document that has grams."""
     for batch in batches:
         ids = batch.column(0)
         for lo, texts in core.slices(batch.column(1)):
             got = core.grams(core.tokenize(texts), N)
             keep = [i for i, g in enumerate(got) if len(g)]
             doc = ids.slice(lo, len(texts)).take(pa.array(keep, pa.int64()))
-            if not with_cells:
-                yield pa.RecordBatch.from_arrays([doc, pa.array([got[i].tobytes() for i in keep], pa.binary())], ["doc_id", "grams"])
-                continue
             with np.errstate(over="ignore"):
                 h = [np.array([core.mix(got[i]).sum(), core.mix(got[i] ^ U(0x77)).sum()]).view(np.int64) for i in keep]
+            halves = [pa.array([x[k] for x in h], pa.int64()) for k in (0, 1)]
+            if not with_cells:
+                yield pa.RecordBatch.from_arrays([doc, *halves, pa.array([got[i].tobytes() for i in keep], pa.binary())], ["doc_id", "h1", "h2", "grams"])
+                continue
             keys = [cells(got[i], threshold).view(np.int64) for i in keep]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [doc, pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "h1", "h2", "cells"],
+                [doc, *halves, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([len(got[i]) for i in keep], pa.int64()), pa.array([packed(point(got[i])) for i in keep], pa.binary())],
+                ["doc_id", "h1", "h2", "cells", "size", "point"],
             )
 
 
@@ -103,21 +213,24 @@ class Tree:
         self.nodes.append((p.max(axis=0), int(self.totals[rows].min()), lo, hi, left, right))
         return len(self.nodes) - 1
 
-    def pairs(self, threshold: float) -> Iterator[tuple[int, int]]:
-        """Pairs of rows whose summed minima reach the overlap that the threshold needs."""
+    def pairs(self, threshold: float, joined: Roots | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Arrays of rows, paired, whose summed minima reach the overlap that the threshold needs; joined: nodes all of whose rows are connected already are passed over."""
         todo = [(len(self.nodes) - 1, len(self.nodes) - 1)]
         while todo:
             x, y = todo.pop()
             (hx, sx, xl, xh, xa, xb), (hy, sy, yl, yh, ya, yb) = self.nodes[x], self.nodes[y]
-            if x != y and np.minimum(hx, hy).sum() < least_overlap(sx, sy, threshold):
+            if x != y and np.minimum(hx, hy).sum(dtype=np.int64) < least_overlap(sx, sy, threshold):
+                continue
+            if joined and joined.one(self.order[xl:xh], self.order[yl:yh]):
                 continue
             if xa < 0 and ya < 0:
                 a, b = self.order[xl:xh], self.order[yl:yh]
-                bound = np.minimum(self.points[a][:, None, :], self.points[b][None, :, :]).sum(axis=2)
-                ok = bound >= least_overlap(self.totals[a][:, None], self.totals[b][None, :], threshold)
-                for i, j in zip(*np.nonzero(ok)):
-                    if x != y or i < j:
-                        yield int(a[i]), int(b[j])
+                bound = np.minimum(self.points[a][:, None, :], self.points[b][None, :, :]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero(bound >= least_overlap(self.totals[a][:, None], self.totals[b][None, :], threshold))
+                if x == y:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield a[i], b[j]
             elif x == y:
                 todo += [(xa, xa), (xb, xb), (xa, xb)]
             elif ya < 0 or xa >= 0 and xh - xl >= yh - yl:
@@ -126,39 +239,36 @@ class Tree:
                 todo += [(x, ya), (x, yb)]
 
 
-def joined(g: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, float]]:
-    """(i, j, similarity) of the pairs of sets that reach the threshold."""
-    totals = np.array([len(x) for x in g], dtype=np.int64)
-    if len(g) > 2:
-        bits = int(np.clip(np.ceil(np.log2(totals.mean())), 4, 10))
-        points = np.array([np.bincount((x >> U(32)).astype(np.int64) & ((1 << bits) - 1), minlength=1 << bits) for x in g], dtype=np.int32)
-        found: Iterator[tuple[int, int]] = Tree(points, totals).pairs(threshold)
-    else:
-        found = iter([(0, 1)] if len(g) == 2 else [])
-    for i, j in found:
-        a, b = (g[i], g[j]) if len(g[i]) <= len(g[j]) else (g[j], g[i])
-        if len(a) < threshold * len(b) - 1e-9:
-            continue
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        both = int((b[at] == a).sum())
-        s = both / (len(a) + len(b) - both)
-        if s >= threshold:
-            yield i, j, s
+def similarities(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Of a set with each of others."""
+    every = np.concatenate(others)
+    at = np.searchsorted(a, every)
+    at[at == len(a)] = 0
+    n = np.array([len(x) for x in others])
+    both = np.add.reduceat((a[at] == every).astype(np.int64), np.cumsum(n) - n)
+    return both / (len(a) + n - both)
 
 
 def verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(doc_a, doc_b, jaccard) of the pairs of each block that reach the threshold: those whose points do, on their whole sets."""
+    names = ["doc_a", "doc_b", "jaccard"]
     for batch in batches:
-        out: tuple[list, list, list] = ([], [], [])
         for i in range(batch.num_rows):
-            members = batch.column(0)[i].as_py()
-            members.sort(key=lambda m: m["doc_id"])
-            ids = [m["doc_id"] for m in members]
-            for a, b, s in joined([np.frombuffer(m["grams"], dtype=np.uint64) for m in members], threshold):
-                out[0].append(min(ids[a], ids[b]))
-                out[1].append(max(ids[a], ids[b]))
-                out[2].append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["doc_a", "doc_b", "jaccard"])
+            members = batch.column(0)[i].values
+            ids = members.field(0).to_numpy()
+            grams = [np.frombuffer(x, dtype=np.uint64) for x in binaries(members.field(1))]
+            totals = np.array([len(g) for g in grams])
+            for a, b in bounded([point(g) for g in grams], totals, threshold):
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                s = np.zeros(len(a))
+                edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, dtype=np.int64)
+                for lo, hi in zip(edge.tolist(), edge[1:].tolist()):
+                    s[lo:hi] = similarities(grams[a[lo]], [grams[x] for x in b[lo:hi].tolist()])
+                keep = s >= threshold
+                if keep.any():
+                    x, y = ids[a[keep]], ids[b[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(s[keep])], names)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -166,7 +276,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    each = core.written(texts.mapInArrow(lambda it: sets(it, threshold, True), "doc_id long, h1 long, h2 long, cells array<long>"))
+    each = core.written(texts.mapInArrow(lambda it: sets(it, threshold, True), "doc_id long, h1 long, h2 long, cells array<long>, size long, point binary"))
     # one set a doc_id; one document a set
     one = each.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
     member = core.written(one.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("docs")))
@@ -182,21 +292,26 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .groupBy(F.xxhash64("docs").alias("members"), F.size("docs").alias("n"))
         .agg(F.first("docs").alias("docs"), F.min("cell").alias("tile"))
     )
-    held = core.written(held.select("tile", F.explode("docs").alias("doc_id")))
-    again = (
-        texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
-        .mapInArrow(lambda it: sets(it, threshold, False), "doc_id long, grams binary")
-        .groupBy("doc_id")
-        .agg(F.min("grams").alias("grams"))
+    held = held.select("tile", F.explode("docs").alias("doc_id"))
+    edges = (
+        held.join(filed.select("doc_id", "size", "point"), "doc_id")
+        .groupBy("tile")
+        .agg(F.collect_list(F.struct("doc_id", "size", "point")).alias("members"))
+        .select("members")
+        .mapInArrow(lambda it: search(it, threshold), "doc_a long, doc_b long")
+        .distinct()
     )
+    # documents that cells connect are one block: a document's set goes to one place, whatever the number of its pairs
+    joined = core.written(groups(edges))
+    needed = joined.select("doc_id", F.col("keep").alias("block")).union(joined.select("keep", "keep").distinct())
+    needed = core.written(needed.join(member.select(F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id"))
+    grams = texts.join(needed.select("doc_id"), "doc_id", "left_semi").mapInArrow(lambda it: sets(it, threshold, False), "doc_id long, h1 long, h2 long, grams binary")
     pairs = (
-        held.join(again, "doc_id")
-        .groupBy("tile")
+        needed.join(grams.dropDuplicates(["doc_id", "h1", "h2"]), ["doc_id", "h1", "h2"])
+        .groupBy("block")
         .agg(F.collect_list(F.struct("doc_id", "grams")).alias("members"))
         .select("members")
         .mapInArrow(lambda it: verify(it, threshold), "doc_a long, doc_b long, jaccard double")
-        .groupBy("doc_a", "doc_b")
-        .agg(F.max("jaccard").alias("jaccard"))
     )
     return pairs.unionByName(stars)
 
