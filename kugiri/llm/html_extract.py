@@ -153,7 +153,9 @@ def learn(pages: DataFrame, rows: int = FIT_PAGES) -> np.ndarray:
             got = [(f, y) for h in b.column(0).to_pylist() for f in map(features, read(h)) if (y := weak_label(f)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.list_(pa.float64())), pa.array([y for _, y in got], pa.float64())], ["x", "y"])
 
-    drawn = pages.where("html is not null").select(F.xxhash64("page_id").alias("h"), "html").orderBy("h", "html").limit(rows).select("html")
+    # ids alone are drawn, then broadcast, so that no task gathers pages
+    picked = pages.where("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
+    drawn = pages.where("html is not null").join(F.broadcast(picked), "page_id").select("html")
     got = drawn.mapInArrow(extract, "x array<double>, y double").orderBy("x", "y").toPandas()
     return fitted(np.array(got.x.tolist()).reshape(len(got), len(PRIOR)), got.y.to_numpy())
 
