@@ -102,6 +102,18 @@ def test_lm_score(spark, docs, labels, clashing, none):
     assert lm_compress.lm_score(docs, none[1]).count() == docs.count()
 
 
+def test_lm_dictionaries_grow_with_the_corpus(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(21_000)]
+    docs = spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(words)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(words))], "doc_id long, quality int, toxic int")
+    rows = lm_compress.lm_score(docs, labels).collect()
+    # both models know the words of all documents, but for what zstandard's tables miss: a text whose word isn't known takes over 21 bytes
+    assert len(rows) == len(words) and np.mean([max(r.in_domain, r.general) > 21 for r in rows]) < 0.2
+
+
 def test_hilbert_neighbours_touch():
     n = 8
     cells = np.array([(a, b, c) for a in range(n) for b in range(n) for c in range(n)])
