@@ -114,6 +114,15 @@ def test_lm_dictionaries_grow_with_the_corpus(spark):
     assert len(rows) == len(words) and np.mean([max(r.in_domain, r.general) > 21 for r in rows]) < 0.2
 
 
+def test_lm_overlong_word_keeps_the_others(spark):
+    long = "".join(f"{i:05x}" for i in range(30_000))
+    docs = spark.createDataFrame([(i, f"{long} somewhatlongerword") for i in range(2)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    for raw in lm_compress.dictionaries(docs, labels):
+        assert raw == f"somewhatlongerword {long}".encode()
+    assert all(r.in_domain == r.general < len(long) // 100 for r in lm_compress.lm_score(docs, labels).collect())
+
+
 def test_hilbert_neighbours_touch():
     n = 8
     cells = np.array([(a, b, c) for a in range(n) for b in range(n) for c in range(n)])
