@@ -3,14 +3,17 @@
 The lexicon holds whole words and stems. Each term's Levenshtein automaton runs over all terms at once: a state is a set of
 (trie node, errors), made deterministic step by step and remembered, so a word is looked up in time linear in its length and
 most words die within a few letters. Terms of up to 4 letters allow no error, up to 7 one, longer ones two; stems under 6
-letters none, others one; the first letter must be right. Digits and signs that stand for letters are read as those.
+letters none, others one; the first letter must be right. Beside these, two swapped letters are one error in any term but a
+stem under 6 letters, as are a doubled letter in a term of up to 4 letters and a wrong, missing or further first letter in one of
+LONG letters or more. Digits and signs that stand for letters are read as those.
 
 The lexicon is LEXICON and what the labels teach: in at most FIT_ROWS labelled documents, the word beginnings that occur in at
 least max(MIN_SUPPORT, 1 % of the toxic ones) toxic texts that aren't copies and at most 2 % as many clean ones. Misspellings that
 occur in labelled clean documents are ordinary words, and don't count.
 
-A match weighs 1, less 0.4 for each error; inside quotation marks a quarter, soon after a reporting word half (quotation); near
-a second-person pronoun one and a half times (abuse). A document's score is the largest sum within WINDOW words; it is
+A match weighs 1, less 0.3 for each error; inside quotation marks a quarter, soon after a reporting word half (quotation); near
+a second-person pronoun one and a half times (abuse), so that one misspelt term is enough there. Of a reporting word and a
+second-person pronoun, that one counts which comes later. A document's score is the largest sum within WINDOW words; it is
 rejected from THRESHOLD on. A null or empty text has score 0 and is kept. Repeated rows are scored alike. Rows with a null
 doc_id are scored too. The text is read to its end, whatever its length.
 """
@@ -33,6 +36,7 @@ FIT_ROWS = 20_000
 MIN_SUPPORT = 8
 WINDOW = 60
 DOUBTFUL = 0.6
+LONG = 8
 THRESHOLD = 1.0
 REMEMBERED = 400_000
 WORDS = re.compile(r"\w+(?:[@$!*]+\w+)*")
@@ -117,6 +121,29 @@ class Matcher:
         return self.found[s]
 
 
+class Slips:
+    """Words that are one error from a term although the automaton gives them more or none: see the module."""
+
+    def __init__(self, terms: Iterable[tuple[str, bool]]):
+        self.whole: set[str] = set()
+        self.begin: set[str] = set()
+        self.tails: set[str] = set()
+        self.long: set[str] = set()
+        for w, stem in terms:
+            if stem and len(w) < 6:
+                continue
+            (self.begin if stem else self.whole).update(v for k in range(len(w) - 1) if (v := w[:k] + w[k + 1] + w[k] + w[k + 2 :]) != w)
+            if not stem and len(w) <= 4:
+                self.whole.update(w[:k] + w[k] + w[k:] for k in range(len(w)))
+            if not stem and len(w) >= LONG:
+                self.tails.add(w[1:])
+                self.long.add(w)
+        self.lengths = sorted({len(w) for w in self.begin})
+
+    def one(self, word: str) -> bool:
+        return word in self.whole or word in self.tails or word[1:] in self.tails or word[1:] in self.long or any(word[:n] in self.begin for n in self.lengths)
+
+
 def words_of(text: str) -> list[str]:
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
@@ -131,13 +158,16 @@ class Scorer:
     def __init__(self, terms: Iterable[tuple[str, bool]], doubtful: Iterable[tuple[str, bool]], ordinary: frozenset[str]):
         self.terms, self.doubtful, self.ordinary = frozenset(terms), frozenset(doubtful), ordinary
         self.matcher, self.exact = Matcher(self.terms), Matcher(self.doubtful)
+        self.slips = Slips(self.terms)
         self.clean: set[str] = set()
 
     def match(self, word: str) -> float:
         e = self.matcher.errors(p := plain(word))
+        if e != 0 and e != 1 and self.slips.one(p):
+            e = 1
         if e is None or e and p in self.ordinary:
             return DOUBTFUL if self.doubtful and self.exact.errors(p) == 0 else 0.0
-        return 1 - 0.4 * e
+        return 1 - 0.3 * e
 
     def score(self, text: str | None) -> tuple[float, int, int]:
         """The score, the number of matches, and how many of them are quoted."""
@@ -163,7 +193,7 @@ class Scorer:
                 near = [at[k].group() for k in range(max(0, i - 5), min(len(at), i + 4))]
                 if q < len(spans) and spans[q][0] <= m.start():
                     x, quoted = x * 0.25, quoted + 1
-                elif not REPORTING.isdisjoint(near[: min(i, 5)]):
+                elif (said := max((k for k, w in enumerate(near[: min(i, 5)]) if w in REPORTING), default=-1)) >= 0 and SECOND.isdisjoint(near[said:]):
                     x, quoted = x * 0.5, quoted + 1
                 elif not SECOND.isdisjoint(near):
                     x *= 1.5
@@ -240,11 +270,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seeds: Itera
         doubtful = chosen(toxic, clean, support, 0.15) - terms
 
     def misspelt(batches: Iterator[pa.RecordBatch], terms=frozenset(terms)) -> Iterator[pa.RecordBatch]:
-        m, seen, out = Matcher(terms), set(), set()
+        m, slips, seen, out = Matcher(terms), Slips(terms), set(), set()
         for b in batches:
             new = {plain(w) for t in b.column(0).to_pylist() for w in set(words_of(t or ""))} - seen
             seen |= new
-            out |= {w for w in new if m.errors(w)}
+            out |= {w for w in new if (e := m.errors(w)) or e is None and slips.one(w)}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.string())], ["w"])
 
     return Scorer(terms, doubtful, frozenset(r.w for r in good.select("text").mapInArrow(misspelt, "w string").distinct().collect()))

@@ -53,6 +53,19 @@ def test_context():
     assert s.score(f"idiott {far} idiott")[0] < s.score("idiott idiott")[0]
 
 
+def test_one_misspelt_term_is_enough_in_address():
+    s = T.Scorer([(w, False) for w in T.LEXICON], [], frozenset())
+    for w in ("idiiot", "idoit", "diiot", "colwn", "scumm", "sucm", "vorthless", "orthless", "wrothless"):
+        assert s.score(f"You are an {w}.")[0] >= T.THRESHOLD, w
+        assert 0 < s.score(f"It is an {w}.")[0] < T.THRESHOLD, w
+    assert s.score("I said you idiot")[0] >= T.THRESHOLD
+    assert s.score("You said idiot")[0] < T.THRESHOLD
+    for w in ("closer", "pitch", "scam", "boron"):
+        assert s.score(f"You are at {w}.") == (0.0, 0, 0), w
+    s = T.Scorer([("disgust", True)], [], frozenset({"idsgusted"}))
+    assert s.match("digsusting") == 0.7 and s.match("idsgusted") == 0
+
+
 def test_stems_and_labels(docs, labels, clashing, none):
     assert T.Matcher([("vequ", True)]).errors("vequaire") == 0 and T.Matcher([("vequ", True)]).errors("vecu") is None
     got = {r.doc_id for r in T.toxicity(docs, labels).collect()}
