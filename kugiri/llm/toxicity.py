@@ -16,6 +16,10 @@ a second-person pronoun one and a half times (abuse), so that one misspelt term
 second-person pronoun, that one counts which comes later. A document's score is the largest sum within WINDOW words; it is
 rejected from THRESHOLD on. A null or empty text has score 0 and is kept. Repeated rows are scored alike. Rows with a null
 doc_id are scored too. The text is read to its end, whatever its length.
+
+Quotations are paired over the whole text, whatever their length. An opening mark that repeats at the start of a line goes on with
+the quotation that is open; marks without a partner count for nothing. A straight mark opens after a blank or bracket, closes
+before one, and where both or neither hold it does what is due; one that opens again replaces the one that was left open.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ LONG = 8
 THRESHOLD = 1.0
 REMEMBERED = 400_000
 WORDS = re.compile(r"\w+(?:[@$!*]+\w+)*")
-QUOTED = re.compile(r"“[^”]{0,400}”|«[^»]{0,400}»|„[^“”]{0,400}[“”]|\"[^\"\n]{1,400}\"|‘[^’\n]{1,400}’")
+MARKS = re.compile("[“”„«»‘’\"]")
+CLOSERS = {"”": "“„", "“": "„", "»": "«", "’": "‘"}
 LEET = str.maketrans("013457@$!*", "oieastasi*", "_")
 REPORTING = frozenset("said says called calls quote quoted quoting term word slur insult wrote writes reported definition dit appelé mot sagte nannte wort dijo llamó palabra".split())
 SECOND = frozenset("you your youre u ur yourself tu toi vous du dich dir ihr usted vosotros".split())
@@ -154,6 +159,51 @@ def plain(word: str) -> str:
     return word if word.isalpha() else word if word.isdigit() else word.translate(LEET)
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The outermost spans between marks that pair, in order."""
+    out: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    n: Counter = Counter()
+
+    def close(kinds: str, end: int) -> None:
+        while True:
+            kind, at = stack.pop()
+            n[kind] -= 1
+            if kind in kinds:
+                break
+        while out and out[-1][0] >= at:
+            out.pop()
+        out.append((at, end))
+
+    for m in MARKS.finditer(text):
+        c, at = m.group(), m.start()
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        fresh = before in ("", "\n")
+        if c == "’" and after.isalnum():
+            continue
+        if c == '"':
+            opens = (not before or before.isspace() or before in "([{-–—“„«‘") and bool(after) and not after.isspace()
+            closes = bool(before) and not before.isspace() and not after.isalnum()
+            if n[c] and (closes or not opens):
+                close(c, at + 1)
+            elif opens or not closes:
+                if n[c] and fresh:
+                    continue
+                while n[c]:  # the one left open, and what opened within it
+                    kind, _ = stack.pop()
+                    n[kind] -= 1
+                stack.append((c, at))
+                n[c] += 1
+            continue
+        kinds = CLOSERS.get(c, "")
+        if any(n[k] for k in kinds):
+            close(kinds, at + 1)
+        elif c in "“„«‘" and not (n[c] and fresh):
+            stack.append((c, at))
+            n[c] += 1
+    return out
+
+
 class Scorer:
     def __init__(self, terms: Iterable[tuple[str, bool]], doubtful: Iterable[tuple[str, bool]], ordinary: frozenset[str]):
         self.terms, self.doubtful, self.ordinary = frozenset(terms), frozenset(doubtful), ordinary
@@ -183,7 +233,7 @@ class Scorer:
         if not unicodedata.is_normalized("NFKC", text):
             text = unicodedata.normalize("NFKC", text)
         text = text.lower()
-        spans = [m.span() for m in QUOTED.finditer(text)]
+        spans = quotations(text)
         at = list(WORDS.finditer(text))
         found, quoted, q = [], 0, 0
         for i, m in enumerate(at):

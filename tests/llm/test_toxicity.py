@@ -66,6 +66,21 @@ def test_one_misspelt_term_is_enough_in_address():
     assert s.match("digsusting") == 0.7 and s.match("idsgusted") == 0
 
 
+def test_quotations_of_any_length():
+    s = T.Scorer([("idiot", False)], [], frozenset())
+    fill = "word " * 200
+    for a, b in ('""', "“”", "«»", "„“", "‘’"):
+        assert s.score(f"They read {a}you idiot {fill}{b} aloud.")[0] < T.THRESHOLD, a
+        assert s.score(f"They read {a}{fill}\n{fill}you idiot{b} aloud.")[0] < T.THRESHOLD, a
+        # what stands between two long quotations isn't quoted
+        assert s.score(f"{a}{fill.strip()}{b} but you idiot {a}some more{b}")[0] >= T.THRESHOLD, a
+    assert s.score('A 5" screen, you idiot, or a 6" one')[0] >= T.THRESHOLD
+    assert s.score("“one\n“two\n“you idiot” they read")[0] < T.THRESHOLD
+    assert s.score("“never closed, you idiot")[0] >= T.THRESHOLD
+    assert T.quotations("“a „b“ ‘don’t’ c” d »e «f»") == [(0, 17), (23, 26)]
+    assert len(T.quotations("«" * 200_000 + "”" * 200_000)) == 0
+
+
 def test_stems_and_labels(docs, labels, clashing, none):
     assert T.Matcher([("vequ", True)]).errors("vequaire") == 0 and T.Matcher([("vequ", True)]).errors("vecu") is None
     got = {r.doc_id for r in T.toxicity(docs, labels).collect()}
