@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -121,21 +123,29 @@ def grams(t: Tokens, n: int = 3) -> list[np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a local one is set only where the session names none."""
+    """A new folder below the one that all executors share, spark.checkpoint.dir. Where the session names none, a local one is made, for a session that runs in this process alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master := spark.sparkContext.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="kugiri-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/kugiri-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors. The shuffle files behind it go as soon as it is written."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:

@@ -1,19 +1,23 @@
-"""Near-duplicate join: Jaccard similarity of word 3-gram sets by a count-vector R-tree.
-
-Every document is the set of its distinct word 3-grams. Hashed into groups, a set is a point of group counts, and the summed
-minima of two points bound the overlap of the sets. The index has two levels. Its directory sends a set to cells: a cell holds
-the sets whose fine groups of one small hash range count alike (for sets of up to SMALL grams: that have a gram of their exact
-prefix in common). Within a cell with two or more sets, a packed tree over the count vectors is joined with itself: pairs of
-nodes whose corner minima cannot reach the needed overlap are dropped, then pairs of points, and the rest is verified on the
-whole sets. Every set is indexed and every set is a query; no cell, partner list or candidate list is capped.
-
-The directory is exact for sets of up to SMALL grams and approximate above: a pair at the threshold is missed with a
-probability of about 0.5 %, one at 0.6 with less than 0.01 %.
-
-Null or empty texts have no 3-grams and no pairs; a text of one or two words has one gram, the text itself. Rows with a null
-doc_id are left out. Rows that repeat a doc_id count once, with the least set. Columns other than doc_id and text are ignored.
-Documents with one and the same set are joined as a star: one row from the least doc_id of the set to each other one, with
-similarity 1, and only that least one is compared with other sets, since the others' similarities are the same.
+"""Near-duplicate join: Jaccard similarity of word 3-gram sets by count-vector R-trees.
+
+Every document is the set of its distinct word 3-grams (48-bit hashes). Documents with one and the same set are a class of
+copies, and its least doc_id stands for it. The join is exact: no pair of classes that reaches the threshold is lost, and no cell,
+partner list or candidate list is capped.
+
+The index has two levels. Its directory: grams that one set alone holds are left out, and with them all sets that have fewer
+than threshold * size others; the rest are put in one global order, by the number of sets that hold a gram and by which these
+are. Sets that reach the threshold have one of the first size - needed + 1 in common. All grams that the same sets hold are one
+cell; the cells whose least member is the same are one tile, so a set is in few tiles. Within a tile (a large one is cut in parts,
+each pair of parts a unit of work) the grams are hashed into groups; the counts of a set's groups are its point, and a packed
+R-tree over the points is joined with itself: pairs of nodes whose corner minima, summed, can't reach the needed overlap are
+dropped, then pairs of points, and the rest is verified on the whole sets. A pair counts in the least of its common tiles.
+
+Grams travel in packed lists, one for each range of hashes and batch of documents; a gram that several sets of a batch hold is one
+entry of the batch's list, so a hot gram has at most one entry a batch. No row holds more than a batch of documents.
+
+Null, empty and wordless texts have no 3-grams: each such document is a class of its own without links. A text of one or two words
+has one gram, the text itself. Rows with a null doc_id are left out. Rows that repeat a doc_id count once, with the least of their
+sets. Columns other than doc_id and text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +35,13 @@ from . import core
 
 THRESHOLD = 0.5
 N = 3
-SMALL = 32
-#: Fine hash ranges of about PER_CELL grams each, of which every larger set is filed under the first CELLS.
-PER_CELL, CELLS = 2, 28
+GRAM_BITS = 48
+#: Grams of one batch of documents, and bytes of grams of one part of a tile: the memory that a task needs.
+BATCH, PART = 1 << 21, 2 << 20
 LEAF = 16
 GROUPS = 16384
 U = np.uint64
+LIST, HEADER, FURTHER = 0, 1, 2
 
 
 def least_overlap(a, b, threshold: float):
@@ -42,50 +49,211 @@ def least_overlap(a, b, threshold: float):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def cells(g: np.ndarray, threshold: float) -> np.ndarray:
-    """Directory keys of a sorted set of gram hashes."""
-    n, keys = len(g), []
+# packed lists
+
+
+def pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of one length, each of so many bytes a number, byte by byte so that what is alike is side by side."""
+    planes = [np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() for c, width in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(raw: bytes, *widths: int) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    n, at, out = len(data) // sum(widths), 0, []
+    for width in widths:
+        full = np.zeros((n, 8), dtype=np.uint8)
+        full[:, :width] = data[at : at + n * width].reshape(width, n).T
+        out.append(full.view("<u8").ravel())
+        at += n * width
+    return out
+
+
+def rises(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def six(g: np.ndarray) -> bytes:
+    return np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unsix(raw) -> np.ndarray:
+    full = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    full[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return full.view("<u8").ravel()
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, dtype=np.int64)
+
+
+def holder(batch: int, own: np.ndarray) -> np.ndarray:
+    """A hash of a set of a batch."""
+    return core.mix(core.mix(np.array([batch], dtype=np.uint64) + U(0x5EED)) + own.astype(np.uint64))
+
+
+def listed(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """(key, batch, kind, payload) of batches of documents: a header, lists of grams by range of hashes, and the further holders of grams that the batch has more than once."""
+    part, seq = TaskContext.get().partitionId(), 0
+    ids: list[np.ndarray] = []
+    sets: list[np.ndarray] = []
+    total = 0
+    for b in batches:
+        for lo, texts in core.slices(b.column(1)):
+            ids.append(b.column(0).slice(lo, len(texts)).to_numpy())
+            for g in core.grams(core.tokenize(texts), N):
+                g = g >> U(64 - GRAM_BITS)
+                g = g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g
+                sets.append(g)
+                total += len(g)
+            if total >= BATCH:
+                yield flushed(part << 32 | seq, np.concatenate(ids), sets, ranges)
+                seq, ids, sets, total = seq + 1, [], [], 0
+    if sets:
+        yield flushed(part << 32 | seq, np.concatenate(ids), sets, ranges)
+
+
+def flushed(batch: int, ids: np.ndarray, sets: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    size = np.array([len(g) for g in sets], dtype=np.int64)
+    some = np.flatnonzero(size)
+    h = np.zeros((2, len(sets)), dtype=np.uint64)
+    if len(some):
+        flat, at = np.concatenate(sets), (np.cumsum(size) - size)[some]
+        with np.errstate(over="ignore"):
+            for k, salt in enumerate((0x51, 0x77)):
+                h[k][some] = np.add.reduceat(core.mix(flat + U(salt << 48)), at)
+    # equal sets of the batch are listed once, with the least doc_id
+    order = some[np.lexsort((ids[some], h[1][some], h[0][some]))]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[0][order[1:]] != h[0][order[:-1]]) | (h[1][order[1:]] != h[1][order[:-1]])
+    first = np.zeros(len(sets), dtype=np.int64)
+    first[order[new]] = np.arange(1, new.sum() + 1)  # 0: not the first of its set
+    home = int(core.mix(np.array([batch], dtype=np.uint64))[0] % U(ranges))
+    key, kind, payload = [home], [HEADER], [pack((ids.view(np.uint64), 8), (h[0], 8), (h[1], 8), (size, 4), (first, 4))]
+    if len(order):
+        own = order[new]
+        g, d = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own), dtype=np.int64), size[own])
+        by = np.argsort(g, kind="stable")
+        g, d = g[by], d[by]
+        at = runs(g)
+        count, at = np.diff(at), at[:-1]
+        with np.errstate(over="ignore"):
+            held = np.where(count > 1, np.add.reduceat(holder(batch, d), at), U(0))
+        more = np.ones(len(g), dtype=bool)
+        more[at] = False
+        if more.any():
+            key, kind, payload = [*key, home], [*kind, FURTHER], [*payload, pack((rises(g[more]), 6), (d[more], 4))]
+        g, d = g[at], d[at]
+        edge = np.searchsorted((g >> U(GRAM_BITS - 32)) * U(ranges) >> U(32), np.arange(ranges + 1, dtype=np.uint64))
+        for r in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            s = slice(edge[r], edge[r + 1])
+            key.append(r)
+            kind.append(LIST)
+            payload.append(pack((rises(g[s]), 6), (d[s], 4), (count[s], 4), (held[s], 8)))
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array([batch] * len(key), pa.int64()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], ["key", "batch", "kind", "payload"])
+
+
+REPLY = ["batch", "kind", "payload"]
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each batch learns of its lists: which grams several sets hold, how many, and a hash of which; headers and further holders pass through."""
+    lists: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        kinds = b.column(2).to_numpy()
+        if (rest := np.flatnonzero(kinds != LIST)).size:
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(rest)) for k in (1, 2, 3)], REPLY)
+        for i in np.flatnonzero(kinds == LIST).tolist():
+            batch = b.column(1)[i].as_py()
+            g, d, count, held = unpack(b.column(3)[i].as_buffer(), 6, 4, 4, 8)
+            lists.append((np.cumsum(g, dtype=np.uint64), d.astype(np.uint32), count.astype(np.uint32), np.where(count > 1, held, holder(batch, d)), np.full(len(g), batch)))
+    if not lists:
+        return
+    g, d, count, held, batch = (np.concatenate(x) for x in zip(*lists))
+    lists.clear()
+    order = np.argsort(g, kind="stable")
+    at = runs(g[order])
     with np.errstate(over="ignore"):
-        if n <= SMALL / threshold:
-            keys.append(core.mix(g[: n - int(np.ceil(threshold * n - 1e-9)) + 1] + U(0x51)))
-        if n > SMALL:
-            exact = np.log2(n / PER_CELL)
-            spread = np.log2(1 / threshold) / 2
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(core.mix(g[: 8 * PER_CELL * CELLS] ^ U(0xA5A5)))])
-            for level in range(max(0, int(np.floor(exact - spread + 0.5))), int(np.floor(exact + spread + 0.5)) + 1):
-                used = min(CELLS, 1 << level)
-                edge = np.searchsorted(g, np.arange(1, used, dtype=np.uint64) << U(64 - level)) if level else np.zeros(0, dtype=np.int64)
-                edge = np.concatenate([[0], edge, [n if used == 1 << level else np.searchsorted(g, U(used) << U(64 - level))]]).clip(0, len(total) - 1)
-                some = np.flatnonzero(edge[1:] > edge[:-1])
-                keys.append(core.mix(core.mix(total[edge[some + 1]] - total[edge[some]]) + U(64 * level) + some.astype(np.uint64)))
-    return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+        sets, cell = np.add.reduceat(count[order], at[:-1], dtype=np.int64), core.mix(np.add.reduceat(held[order], at[:-1]))
+    rank = np.minimum(np.rint(7 * np.log2(sets)), 255).astype(np.uint64)
+    keep = np.repeat(sets > 1, np.diff(at))
+    which = np.repeat(np.arange(len(sets)), np.diff(at))[keep]
+    rows = order[keep]
+    by = np.lexsort((g[rows], cell[which], d[rows], batch[rows]))
+    rows, which = rows[by], which[by]
+    at = runs(batch[rows]).tolist()
+    got = [(int(batch[rows[lo]]), pack((rises(d[rows[lo:hi]].astype(np.uint64)), 4), (g[rows[lo:hi]], 6), (cell[which[lo:hi]], 8), (rank[which[lo:hi]], 1))) for lo, hi in zip(at, at[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([LIST] * len(got), pa.int32()), pa.array([x for _, x in got], pa.binary())], REPLY)
+
+
+SETS = "doc_id long, h1 long, h2 long, n int, cells array<long>, n_index int, grams binary"
+
+
+def assembled(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each batch's documents, from rows in the order of batch: the hash and size of a document's set, and of the first of each set with enough shared grams these and its cells, those of the prefix of the smaller partner first."""
+    now, rows = None, []
+    for b in batches:
+        for batch, kind, payload in zip(*(b.column(k).to_pylist() for k in range(3))):
+            if batch != now and rows:
+                yield documents(rows, threshold)
+                rows = []
+            now = batch
+            rows.append((kind, payload))
+    if rows:
+        yield documents(rows, threshold)
+
+
+def documents(rows: list[tuple[int, bytes]], threshold: float) -> pa.RecordBatch:
+    ids, h1, h2, size, first = unpack(next(p for k, p in rows if k == HEADER), 8, 8, 8, 4, 4)
+    n_sets = int(first.max(initial=0))
+    doc = np.zeros(n_sets, dtype=np.int64)
+    doc[first[first > 0].astype(np.int64) - 1] = np.flatnonzero(first > 0)
+    parts = [unpack(p, 4, 6, 8, 1) for k, p in rows if k == LIST]
+    cells: list = [None] * len(ids)
+    grams: list = [None] * len(ids)
+    n_index: list = [None] * len(ids)
+    if parts:
+        d, g, cell, rank = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), *(np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
+        for k, p in rows:
+            if k == FURTHER:
+                more, own = unpack(p, 6, 4)
+                more = np.cumsum(more, dtype=np.uint64)
+                by = np.argsort(g)
+                at = by[np.searchsorted(g[by], more)]
+                d, g, cell, rank = (np.concatenate(x) for x in ((d, own), (g, more), (cell, cell[at]), (rank, rank[at])))
+        by = np.lexsort((g, cell, rank, d))
+        d, g, cell = d[by].astype(np.int64), g[by], cell[by]
+        edge = np.searchsorted(d, np.arange(n_sets + 1))
+        need = np.ceil(threshold * size[doc] - 1e-9).astype(np.int64)
+        index = np.ceil(2 * threshold / (1 + threshold) * size[doc] - 1e-9).astype(np.int64)
+        for i in np.flatnonzero(np.diff(edge) >= need).tolist():
+            lo, hi = edge[i], edge[i + 1]
+            own = cell[lo : hi - need[i] + 1]
+            own = own[runs(own)[:-1]]
+            small = cell[lo : max(lo, hi - index[i] + 1)]
+            row = doc[i]
+            cells[row], n_index[row], grams[row] = own.view(np.int64), len(runs(small)) - 1, six(np.sort(g[lo:hi]))
+    null = size == 0
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids.view(np.int64)), pa.array(h1.view(np.int64), mask=null), pa.array(h2.view(np.int64), mask=null), pa.array(size.astype(np.int32)), pa.array(cells, pa.list_(pa.int64())), pa.array(n_index, pa.int32()), pa.array(grams, pa.binary())],
+        ["doc_id", "h1", "h2", "n", "cells", "n_index", "grams"],
+    )
+
+
+# the tree
 
 
 def point(g: np.ndarray) -> np.ndarray:
     """Counts of the grams in groups, two to four groups a gram, GROUPS at most: of sets with little in common most of the mass falls apart."""
-    bits = min(len(g).bit_length() + 1, GROUPS.bit_length() - 1)
-    return narrow(np.bincount((g >> U(32)).astype(np.int64) & ((1 << bits) - 1), minlength=1 << bits))
+    bits = min(max(len(g), 1).bit_length() + 1, GROUPS.bit_length() - 1)
+    return narrow(np.bincount((g >> U(16)).astype(np.int64) & ((1 << bits) - 1), minlength=1 << bits))
 
 
 def narrow(count: np.ndarray) -> np.ndarray:
     return count.astype(np.uint8 if count.max() < 256 else np.int32)
 
 
-def packed(p: np.ndarray) -> bytes:
-    """A point as bytes: two counts a byte where they are below 16."""
-    if p.max() < 16:
-        return b"4" + (p[::2] | p[1::2] << 4).astype(np.uint8).tobytes()
-    return (b"8" if p.dtype == np.uint8 else b"W") + p.tobytes()
-
-
-def unpacked(raw: memoryview) -> np.ndarray:
-    kind = raw[0]
-    if kind != ord("4"):
-        return np.frombuffer(raw[1:], dtype=np.uint8 if kind == ord("8") else np.int32)
-    two = np.frombuffer(raw[1:], dtype=np.uint8)
-    return np.column_stack([two & 15, two >> 4]).ravel()
-
-
 def folded(p: np.ndarray, n: int) -> np.ndarray:
     return p if len(p) == n else narrow(p.reshape(-1, n).sum(axis=0, dtype=np.int64))
 
@@ -97,10 +265,6 @@ class Roots:
         self.of = np.arange(n)
         self.members = {i: [i] for i in range(n)}
 
-    def one(self, a: np.ndarray, b: np.ndarray) -> bool:
-        r = self.of[a[0]]
-        return bool((self.of[a] == r).all() and (self.of[b] == r).all())
-
     def union(self, i: np.ndarray, j: np.ndarray) -> None:
         apart = self.of[i] != self.of[j]
         for x, y in zip(i[apart].tolist(), j[apart].tolist()):
@@ -113,13 +277,8 @@ class Roots:
                 self.members[x] += moved
 
 
-def bounded(points: list[np.ndarray], totals: np.ndarray, threshold: float, joined: Roots | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays of rows, paired, whose summed minima reach the overlap that the threshold needs. Points of unlike numbers of groups are folded to the fewest."""
-    if len(points) == 2:
-        n = min(map(len, points))
-        if np.minimum(*(folded(p, n) for p in points)).sum(dtype=np.int64) >= least_overlap(*totals, threshold):
-            yield np.array([0]), np.array([1])
-        return
+def bounded(points: list[np.ndarray], totals: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of rows, paired, whose summed minima reach the overlap that the threshold needs. Points of unlike numbers of groups are folded to the fewest; totals: the sizes of the sets."""
     # sets within reach of one another are of the same or of neighbouring classes of size
     reach = np.floor(np.log(totals) / np.log(1 / threshold) + 1e-9).astype(np.int64) if threshold < 1 else totals
     for c in np.unique(reach):
@@ -128,70 +287,11 @@ def bounded(points: list[np.ndarray], totals: np.ndarray, threshold: float, join
             own = reach[rows] == c
             n = min(len(points[r]) for r in rows)
             tree = Tree(np.stack([folded(points[r], n) for r in rows]), totals[rows])
-            local = None
-            if joined:
-                local = Roots(len(rows))
-                _, group = np.unique(joined.of[rows], return_inverse=True)
-                head = np.zeros(group.max() + 1, dtype=np.int64)
-                head[group[::-1]] = np.arange(len(rows))[::-1]
-                local.union(head[group], np.arange(len(rows)))
-            for i, j in tree.pairs(threshold, local):
+            for i, j in tree.pairs(threshold):
                 keep = own[i] | own[j]
-                if local:
-                    local.union(i, j)
                 yield rows[i[keep]], rows[j[keep]]
 
 
-def binaries(values: pa.Array) -> list[memoryview]:
-    """The values of a binary array, not copied."""
-    if not len(values):
-        return []
-    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1].tolist()
-    data = memoryview(values.buffers()[2] or b"")
-    return [data[a:b] for a, b in zip(ends, ends[1:])]
-
-
-def search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(doc_a, doc_b): what connects the documents of each cell whose pairs the points leave, a tree of edges to the least of each connected part."""
-    for batch in batches:
-        out: tuple[list, list] = ([], [])
-        for i in range(batch.num_rows):
-            part = batch.column(0)[i].values
-            ids, totals = part.field(0).to_numpy(), part.field(1).to_numpy()
-            roots = Roots(len(ids))
-            for a, b in bounded([unpacked(x) for x in binaries(part.field(2))], totals, threshold, roots):
-                roots.union(a, b)
-            for rows in roots.members.values():
-                if len(rows) > 1:
-                    own = np.sort(ids[rows])
-                    out[0].append(np.full(len(own) - 1, own[0]))
-                    out[1].append(own[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x])) for x in out], ["doc_a", "doc_b"])
-
-
-def sets(batches: Iterator[pa.RecordBatch], threshold: float, with_cells: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, set hash in two halves, cells, size, point) or (doc_id, set hash, grams) of each document that has grams."""
-    for batch in batches:
-        ids = batch.column(0)
-        for lo, texts in core.slices(batch.column(1)):
-            got = core.grams(core.tokenize(texts), N)
-            keep = [i for i, g in enumerate(got) if len(g)]
-            doc = ids.slice(lo, len(texts)).take(pa.array(keep, pa.int64()))
-            with np.errstate(over="ignore"):
-                h = [np.array([core.mix(got[i]).sum(), core.mix(got[i] ^ U(0x77)).sum()]).view(np.int64) for i in keep]
-            halves = [pa.array([x[k] for x in h], pa.int64()) for k in (0, 1)]
-            if not with_cells:
-                yield pa.RecordBatch.from_arrays([doc, *halves, pa.array([got[i].tobytes() for i in keep], pa.binary())], ["doc_id", "h1", "h2", "grams"])
-                continue
-            keys = [cells(got[i], threshold).view(np.int64) for i in keep]
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [doc, *halves, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([len(got[i]) for i in keep], pa.int64()), pa.array([packed(point(got[i])) for i in keep], pa.binary())],
-                ["doc_id", "h1", "h2", "cells", "size", "point"],
-            )
-
-
 class Tree:
     """A packed tree over count vectors: rows are put in an order by splitting at the median of the coordinate that varies most, LEAF rows make a leaf, two nodes a node. A node has its corner of largest counts and its least total."""
 
@@ -213,16 +313,14 @@ class Tree:
         self.nodes.append((p.max(axis=0), int(self.totals[rows].min()), lo, hi, left, right))
         return len(self.nodes) - 1
 
-    def pairs(self, threshold: float, joined: Roots | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Arrays of rows, paired, whose summed minima reach the overlap that the threshold needs; joined: nodes all of whose rows are connected already are passed over."""
+    def pairs(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Arrays of rows, paired, whose summed minima reach the overlap that the threshold needs."""
         todo = [(len(self.nodes) - 1, len(self.nodes) - 1)]
         while todo:
             x, y = todo.pop()
             (hx, sx, xl, xh, xa, xb), (hy, sy, yl, yh, ya, yb) = self.nodes[x], self.nodes[y]
             if x != y and np.minimum(hx, hy).sum(dtype=np.int64) < least_overlap(sx, sy, threshold):
                 continue
-            if joined and joined.one(self.order[xl:xh], self.order[yl:yh]):
-                continue
             if xa < 0 and ya < 0:
                 a, b = self.order[xl:xh], self.order[yl:yh]
                 bound = np.minimum(self.points[a][:, None, :], self.points[b][None, :, :]).sum(axis=2, dtype=np.int64)
@@ -239,81 +337,158 @@ class Tree:
                 todo += [(x, ya), (x, yb)]
 
 
-def similarities(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Of a set with each of others."""
-    every = np.concatenate(others)
-    at = np.searchsorted(a, every)
-    at[at == len(a)] = 0
-    n = np.array([len(x) for x in others])
-    both = np.add.reduceat((a[at] == every).astype(np.int64), np.cumsum(n) - n)
-    return both / (len(a) + n - both)
-
-
-def verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(doc_a, doc_b, jaccard) of the pairs of each block that reach the threshold: those whose points do, on their whole sets."""
-    names = ["doc_a", "doc_b", "jaccard"]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            members = batch.column(0)[i].values
-            ids = members.field(0).to_numpy()
-            grams = [np.frombuffer(x, dtype=np.uint64) for x in binaries(members.field(1))]
-            totals = np.array([len(g) for g in grams])
-            for a, b in bounded([point(g) for g in grams], totals, threshold):
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                s = np.zeros(len(a))
-                edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, dtype=np.int64)
-                for lo, hi in zip(edge.tolist(), edge[1:].tolist()):
-                    s[lo:hi] = similarities(grams[a[lo]], [grams[x] for x in b[lo:hi].tolist()])
-                keep = s >= threshold
-                if keep.any():
-                    x, y = ids[a[keep]], ids[b[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(s[keep])], names)
+#: Bytes of the bits of a unit's sets; a unit with more compares sorted sets.
+BITS = 32 << 20
+
+
+class Overlap:
+    """Common members of pairs of sets. member: numbers of what they hold, of: the set of each."""
+
+    def __init__(self, member: np.ndarray, of: np.ndarray, n: int, most: int):
+        width = (most + 7) // 8
+        self.sets = self.bits = None
+        if n * width <= BITS:
+            self.bits = np.zeros((n, width), dtype=np.uint8)
+            np.bitwise_or.at(self.bits, (of, member >> 3), (1 << (member & 7)).astype(np.uint8))
+        else:
+            by = np.lexsort((member, of))
+            edge = np.searchsorted(of[by], np.arange(n + 1))
+            self.sets = [member[by][lo:hi] for lo, hi in zip(edge.tolist(), edge[1:].tolist())]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), dtype=np.int64)
+        if self.bits is not None:
+            step = max(1, (4 << 20) // max(1, self.bits.shape[1]))
+            for lo in range(0, len(a), step):
+                out[lo : lo + step] = np.bitwise_count(self.bits[a[lo : lo + step]] & self.bits[b[lo : lo + step]]).sum(axis=1, dtype=np.int64)
+            return out
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = self.sets[i], self.sets[j]
+            if len(x) > len(y):
+                x, y = y, x
+            if len(x):
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                out[k] = (y[at] == x).sum()
+        return out
+
+
+def linked(ids: np.ndarray, size: np.ndarray, grams: list[np.ndarray], parts: np.ndarray | None, lesser: list[np.ndarray], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, similarities) of the pairs of a unit that reach the threshold: those of different parts where these are given, and not those that a lesser tile has."""
+    n = len(ids)
+    _, name, held = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(n), [len(g) for g in grams])
+    some = held[name] > 1  # what one set of the unit holds alone is in no overlap
+    number = (np.cumsum(held > 1) - 1)[name[some]]
+    edge = np.append(0, np.cumsum(np.bincount(of[some], minlength=n)))
+    flat = np.concatenate(grams)[some]
+    points = [point(flat[lo:hi]) for lo, hi in zip(edge.tolist(), edge[1:].tolist())]
+    overlap = Overlap(number, of[some], n, int((held > 1).sum()))
+    before = None
+    if sum(map(len, lesser)):
+        tiles, tile = np.unique(np.concatenate(lesser), return_inverse=True)
+        before = Overlap(tile, np.repeat(np.arange(n), [len(x) for x in lesser]), n, len(tiles))
+    for a, b in bounded(points, size, threshold):
+        if parts is not None:
+            keep = parts[a] != parts[b]
+            a, b = a[keep], b[keep]
+        both = overlap.common(a, b)
+        s = both / (size[a] + size[b] - both)
+        keep = s >= threshold
+        a, b, s = a[keep], b[keep], s[keep]
+        if before is not None and len(a):
+            keep = before.common(a, b) == 0
+            a, b, s = a[keep], b[keep], s[keep]
+        if len(a):
+            yield a, b, s
+
+
+UNIT = ["tile", "i", "j", "part", "doc", "n", "copies", "lesser", "grams"]
+PAIRS, LINKS = "doc_a long, doc_b long, jaccard double", "doc long, links long, least long"
+
+
+def units(batches: Iterator[pa.RecordBatch], threshold: float, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """PAIRS or, for each set of a unit that has links in it, LINKS, from rows of UNIT in the order of unit."""
+
+    def joined(now: tuple | None, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        part, ids, size, copies = (np.array(x, dtype=np.int64) for x in list(zip(*rows))[:4])
+        links, roots = np.zeros(len(rows), dtype=np.int64), Roots(len(rows))
+        for a, b, s in linked(ids, size, [unsix(r[5]) for r in rows], part if now[1] != now[2] else None, [np.array(r[4], dtype=np.int64) for r in rows], threshold):
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(s)], ["doc_a", "doc_b", "jaccard"])
+                continue
+            links += np.bincount(a, weights=copies[b], minlength=len(rows)).astype(np.int64) + np.bincount(b, weights=copies[a], minlength=len(rows)).astype(np.int64)
+            roots.union(a, b)
+        if (some := np.flatnonzero(links)).size:
+            least = np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(least, roots.of, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(least[roots.of[some]])], ["doc", "links", "least"])
+
+    now, rows = None, []
+    for b in batches:
+        for tile, i, j, *row in zip(*(b.column(k).to_pylist() for k in range(len(UNIT)))):
+            if (tile, i, j) != now:
+                yield from joined(now, rows)
+                now, rows = (tile, i, j), []
+            rows.append(row)
+    yield from joined(now, rows)
+
+
+def ranges_of(docs: DataFrame) -> int:
+    """Partitions of the lists: those of the session; up to sixteen times as many where the input's files, by their size, would make larger ones than a task's memory holds."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own if size >> 50 else max(own, min(size >> 24, 16 * own))  # a plan without statistics claims exabytes
+
+
+def found(docs: DataFrame, threshold: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h1, h2) of each document; (h1, h2, rep, copies) of each class; PAIRS or LINKS of the classes' least documents."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    ranges = ranges_of(texts)
+    lists = texts.mapInArrow(lambda it: listed(it, ranges), "key int, batch long, kind int, payload binary")
+    known = lists.repartition(ranges, "key").mapInArrow(shared, "batch long, kind int, payload binary")
+    each = core.written(known.repartition(ranges, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: assembled(it, threshold), SETS))
+    # one set a document, one document a set
+    own = core.written(each.groupBy("doc_id").agg(F.min(F.expr("if(n > 0, struct(h1, h2), null)")).alias("h")).select("doc_id", "h.h1", "h.h2"))
+    classes = core.written(own.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    sets = each.where("grams is not null").drop("doc_id").join(classes, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    sets = core.written(sets.select(F.col("rep").alias("doc"), "n", "copies", "cells", "n_index", "grams", (F.octet_length("grams")).cast("long").alias("bytes")))
+    held = sets.select("doc", "n_index", F.posexplode("cells").alias("at", "cell")).select("doc", "cell", (F.col("at") < F.col("n_index")).alias("small"))
+    least = held.groupBy("cell").agg(F.min("doc").alias("tile"), F.count("*").alias("k"), F.max("small").alias("small")).where("k > 1 and small").select("cell", "tile")
+    placed = core.written(held.select("doc", "cell").join(least, "cell").select("doc", "tile").distinct())
+    parts = placed.join(sets.select("doc", "bytes"), "doc").groupBy("tile").agg(F.ceil(F.sum("bytes") / PART).cast("int").alias("parts"))
+    tiles = placed.join(parts, "tile").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("tile", "parts"))).alias("tiles"))
+    rows = sets.join(tiles, "doc").select("doc", "n", "copies", "grams", F.transform("tiles", lambda t: t.tile).alias("lesser"), F.posexplode("tiles").alias("at", "t"))
+    rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(doc, t.tile), t.parts) as int)"))
+    rows = rows.select(F.col("t.tile").alias("tile"), "part", "doc", "n", "copies", F.expr("slice(lesser, 1, at)").alias("lesser"), "grams", F.explode(F.expr("sequence(0, t.parts - 1)")).alias("other"))
+    rows = rows.select("tile", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *UNIT[3:])
+    return own, classes, rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(lambda it: units(it, threshold, pairs), PAIRS if pairs else LINKS)
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: every pair of classes of copies that reaches the threshold, each class by its least doc_id."""
+    return found(docs, threshold, True)[2]
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: see the module. docs: doc_id integer, text string. An empty table gives no rows."""
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    each = core.written(texts.mapInArrow(lambda it: sets(it, threshold, True), "doc_id long, h1 long, h2 long, cells array<long>, size long, point binary"))
-    # one set a doc_id; one document a set
-    one = each.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
-    member = core.written(one.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.collect_list("doc_id").alias("docs")))
-    stars = member.where(F.size("docs") > 1).select(F.col("rep").alias("doc_a"), F.explode("docs").alias("doc_b")).where("doc_a <> doc_b").withColumn("jaccard", F.lit(1.0))
-    filed = each.join(member.select("h1", "h2", F.col("rep").alias("doc_id")), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
-    # cells with the same members are one
-    held = (
-        filed.select("doc_id", F.explode("cells").alias("cell"))
-        .groupBy("cell")
-        .agg(F.collect_set("doc_id").alias("docs"))
-        .where(F.size("docs") > 1)
-        .select("cell", F.array_sort("docs").alias("docs"))
-        .groupBy(F.xxhash64("docs").alias("members"), F.size("docs").alias("n"))
-        .agg(F.first("docs").alias("docs"), F.min("cell").alias("tile"))
-    )
-    held = held.select("tile", F.explode("docs").alias("doc_id"))
-    edges = (
-        held.join(filed.select("doc_id", "size", "point"), "doc_id")
-        .groupBy("tile")
-        .agg(F.collect_list(F.struct("doc_id", "size", "point")).alias("members"))
-        .select("members")
-        .mapInArrow(lambda it: search(it, threshold), "doc_a long, doc_b long")
-        .distinct()
-    )
-    # documents that cells connect are one block: a document's set goes to one place, whatever the number of its pairs
-    joined = core.written(groups(edges))
-    needed = joined.select("doc_id", F.col("keep").alias("block")).union(joined.select("keep", "keep").distinct())
-    needed = core.written(needed.join(member.select(F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id"))
-    grams = texts.join(needed.select("doc_id"), "doc_id", "left_semi").mapInArrow(lambda it: sets(it, threshold, False), "doc_id long, h1 long, h2 long, grams binary")
-    pairs = (
-        needed.join(grams.dropDuplicates(["doc_id", "h1", "h2"]), ["doc_id", "h1", "h2"])
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("doc_id", "grams")).alias("members"))
-        .select("members")
-        .mapInArrow(lambda it: verify(it, threshold), "doc_a long, doc_b long, jaccard double")
-    )
-    return pairs.unionByName(stars)
+    """(doc_id, class_id, n_links) of each document: see the module. class_id: the least doc_id that links lead to; n_links: how many other documents reach the threshold with it, copies among them. docs: doc_id integer, text string."""
+    own, classes, links = found(docs, threshold, False)
+    links = core.written(links)
+    led = groups(links.select(F.col("doc").alias("doc_a"), F.col("least").alias("doc_b"))).select(F.col("doc_id").alias("rep"), "keep")
+    total = links.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links"))
+    whole = classes.join(total, "rep", "left").join(led, "rep", "left")
+    whole = whole.select("h1", "h2", F.coalesce("keep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return own.join(whole, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, columns as they are, with the least doc_id of each class; rows with a null doc_id stay, as do all rows of a doc_id that stays."""
+    gone = jaccard_join(docs, threshold).where("class_id <> doc_id")
+    return docs.alias("a").join(gone.select("doc_id").alias("b"), F.col("a.doc_id") == F.col("b.doc_id"), "left_anti")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -341,13 +516,17 @@ def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH w AS (SELECT doc_id, {core.SQL_TOKENS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE o AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, {core.SQL_TOKENS.format("text")} AS w FROM o WHERE text IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w WHERE len(w) > 0),
-m AS (SELECT s, min(doc_id) AS rep, list(doc_id) AS docs FROM s GROUP BY s),
-g AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM m),
-p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n AS na, b.n AS nb, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL)
-SELECT doc_a, doc_b, c / (na + nb - c) AS jaccard FROM p WHERE c / (na + nb - c) >= {THRESHOLD}
-UNION ALL
-SELECT rep, d, 1.0::DOUBLE FROM (SELECT rep, unnest(docs) AS d FROM m) WHERE d <> rep
+m AS (SELECT s, min(doc_id) AS rep, count(*) AS copies, list(doc_id) AS docs FROM s GROUP BY s),
+g AS (SELECT rep, copies, len(s) AS n, unnest(s) AS g FROM m),
+p AS (SELECT a.rep AS a, b.rep AS b, b.copies AS copies, a.n AS na, b.n AS nb, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT a, b, copies FROM p WHERE c / (na + nb - c) >= {THRESHOLD}),
+r(a, b) AS (SELECT rep, rep FROM m UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+l AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+d AS (SELECT a, sum(copies) AS links FROM e GROUP BY a),
+x AS (SELECT unnest(m.docs) AS doc_id, l.class_id, coalesce(d.links, 0) + m.copies - 1 AS n_links FROM m JOIN l ON l.a = m.rep LEFT JOIN d ON d.a = m.rep)
+SELECT DISTINCT o.doc_id, coalesce(x.class_id, o.doc_id) AS class_id, CAST(coalesce(x.n_links, 0) AS BIGINT) AS n_links FROM o LEFT JOIN x USING (doc_id)
 """

@@ -4,20 +4,6 @@ from kugiri.llm import core, packing
 from .test_jaccard import brute
 
 
-def components(pairs):
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {x for x in root if find(x) != x}
-
-
 def test_stages(spark, docs, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -37,8 +23,7 @@ def test_stages(spark, docs, labels, tmp_path):
             assert len(ids & set(range(100, 130))) <= 3
             before = [(r.doc_id, r.text) for r in df.select("doc_id", "text").distinct().collect()]
         if i == 2:
-            gone = components(brute(before, 0.5))
-            assert ids == {i for i, _ in before} - gone
+            assert ids == {i for i, (least, _) in brute(before, 0.5)[1].items() if i == least} | ({None} & {i for i, _ in before})
     want = packing.pack(df).collect()
     got = P.run(spark, str(tmp_path)).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
