@@ -7,7 +7,6 @@ returns the sequences. A stage's models are fitted on the labelled rows among it
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kugiri.llm import core, jaccard, packing, quality_fm, toxicity
 
@@ -21,9 +20,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that pairs of near duplicates connect, the least doc_id stays. Rows that are in no pair stay, those with a null doc_id among them."""
-    copies = jaccard.groups(jaccard.jaccard_join(docs)).select(F.col("doc_id").alias("copy"))
-    return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    """Of each class that near duplicates connect, the least doc_id stays. Documents without links stay, those with a null doc_id among them."""
+    return jaccard.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
