@@ -5,19 +5,18 @@ Queries over tables read whole tables; those over literals hold the cases whose
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import __version__
 from .functions import sentence as S
 from .functions.chars import char_type, chars, fullwidth, ngrams, sql_fullwidth, sql_type, type_string
 from .operators import evaluate, filters, predict, segment, train
 from .operators.model import Model, TagModel, dump_dictionary, load_dictionary
 from .plans import pipeline
 from .sources import binary, text
-from .sources.tables import table
+from .sources.tables import shared_dir, table
 from .streaming import stream
 
 QUERIES: dict = {}
@@ -150,7 +149,7 @@ def stream_tokens(spark, sf_dir):
 
     rows = spark.readStream.schema(schema).parquet(path if os.path.isdir(path) else f"{sf_dir}/conversations*.parquet")
     got = stream.rule_tokens(rows, ["conv_id", "turn"], "text").select("conv_id", "turn", "pos", "surface")
-    return stream.run_to_memory(got, "stream_tokens_out")
+    return stream.run_to_table(got)
 
 
 _filter_cases = [(0, "5 00 0", "D"), (1, "20 21 年 8 月 2 4 日", "D"), (2, "これ は 手 👏 🏽 で す", "G"), (3, "前の行\r\n次の行", "L"), (4, "A B c 1 2 あ い", "RDH"), (5, "👨 ‍ 👩 ‍ 👦", "G")]
@@ -219,6 +218,46 @@ def raw_sentences(spark, sf_dir):
     return s.select("doc_id", F.length("s.text").cast("long").alias("n"), F.size(F.filter("s.boundaries", lambda b: b == S.UNKNOWN)).cast("long").alias("unknown"))
 
 
+_lines_sql = "SELECT count(*) AS lines, CAST(sum(length(l)) AS BIGINT) AS characters, count(*) FILTER (l = '') AS empty FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))), '\\r$', '') AS l FROM documents WHERE text IS NOT NULL)"
+
+
+@query("read_lines", _lines_sql)
+def read_lines(spark, sf_dir):
+    """The texts of documents as files of lines, read back."""
+    path = shared_dir(spark)
+    table(spark, sf_dir, "documents").where("text is not null").select("text").write.text(path, lineSep="\n")
+    lines = text.read_lines(spark, path)
+    return lines.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"), F.count_if(F.col("line") == "").alias("empty"))
+
+
+@query("transfer_documents", f"SELECT doc_id, text, CAST(len(regexp_extract_all(text, '{DIGITS}|{LETTERS}|(?s:.)')) AS BIGINT) AS n_tokens FROM documents WHERE text <> ''")
+def transfer_documents(spark, sf_dir):
+    """Boundaries that rules find on the full-width text, on the text as it was."""
+    df = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", S.from_raw(fullwidth(F.col("text"))).alias("s"))
+    c = chars(F.col("s.text"))
+    df = df.withColumn("s", F.col("s").withField("boundaries", filters.chain(c, F.array_repeat(F.lit(1), F.size(c) - 1), "DR"))).withColumn("s", S.transfer(F.col("s"), F.col("text")))
+    return df.select("doc_id", F.col("s.text").alias("text"), (F.size(F.filter("s.boundaries", lambda b: b == 1)) + 1).cast("long").alias("n_tokens"))
+
+
+@query("transfer_unlike", literal(["id", "text"], [(0, "ab"), (1, None)]))
+def transfer_unlike(spark, sf_dir):
+    df = spark.createDataFrame([(0, "ＡＢ", "ab"), (1, "ＡＢ", "abc")], "id int, wide string, text string")
+    return df.select("id", S.transfer(S.from_raw(F.col("wide")), F.col("text"))["text"].alias("text"))
+
+
+@query("reset_tags", literal(["id", "tokenized", "n_tags"], [(0, "まぁ 良い", 2), (1, "火星 猫", 2)]))
+def reset_tags(spark, sf_dir):
+    df = spark.createDataFrame([(0, "まぁ/副詞/マー 良い/形容詞"), (1, "火星 猫")], "id int, line string")
+    s = S.reset_tags(S.from_tokenized(F.col("line")), 2)
+    return df.select("id", S.to_tokenized(s).alias("tokenized"), s["n_tags"].alias("n_tags"))
+
+
+@query("substrings", "SELECT doc_id, substring(text, 3, 5) AS part, substring(text, CAST(length(text) AS INT) - 1, 2) AS last FROM documents WHERE length(text) >= 7")
+def substrings(spark, sf_dir):
+    n = F.length("text")
+    return table(spark, sf_dir, "documents").where("length(text) >= 7").select("doc_id", S.substring(F.col("text"), 2, 7).alias("part"), S.substring(F.col("text"), n - 2, n).alias("last"))
+
+
 # matching and scoring
 
 
@@ -241,7 +280,7 @@ def dict_match(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in _words], "word string")
     each = table(spark, sf_dir, "documents").where("text <> ''").select(chars(F.col("text")).alias("c"))
     subs = F.concat(*(ngrams(F.col("c"), k) for k in sorted({len(w) for w in _words})))
-    return each.select(F.explode(subs).alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(words, "word").select("word", "n")
+    return each.select(F.explode(subs).alias("word")).join(words, "word").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _weights_sql(m: Model) -> str:
@@ -262,15 +301,22 @@ a AS (SELECT {keys}, i + o AS b, sum(x) AS x FROM g JOIN {_weights_sql(m)} USING
 s AS (SELECT {', '.join('c.' + k.strip() for k in keys.split(','))}, c.i AS b, c.c AS c, c.n AS n, {m.bias} + coalesce(x, 0) AS score FROM c LEFT JOIN a ON {' AND '.join(f'c.{k.strip()} = a.{k.strip()}' for k in keys.split(','))} AND c.i = a.b)"""
 
 
+def _scored(spark, sf_dir: str) -> DataFrame:
+    """Documents that have boundaries. A filter on the scores themselves would be pushed below them, and run them twice."""
+    return table(spark, sf_dir, "documents").where((F.length("text") > 1) & (F.instr("text", "\0") == 0))
+
+
 @query("score_boundary_latin", f"WITH {_scores_sql('doc_id', 'documents', LATIN)} SELECT doc_id, count(*) AS n, CAST(sum(score) AS BIGINT) AS total, max(score) AS highest, min(score) AS lowest, count(*) FILTER (score > 0) AS above FROM s WHERE b <= n - 2 GROUP BY doc_id")
 def score_boundary_latin(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", predict.scores(spark, LATIN, F.col("text")).alias("s")).where("size(s) > 0")
+    s = _scored(spark, sf_dir).select("doc_id", predict.scores(spark, LATIN, F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("s").alias("highest"), F.array_min("s").alias("lowest"), F.size(F.filter("s", lambda x: x > 0)).cast("long").alias("above"))
 
 
-@query("score_exploded", f"WITH {_scores_sql('item_id', 'benchmark', LATIN)} SELECT item_id AS doc_id, CAST(b AS INT) AS b, CAST(score AS BIGINT) AS score FROM s WHERE b <= n - 2")
+@query("score_exploded", ORACLE["score_boundary_latin"])
 def score_exploded(spark, sf_dir):
-    return predict.exploded_scores(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), LATIN.tables(spark), LATIN.bias, LATIN.char_window, LATIN.type_window)
+    s = predict.exploded_scores(_scored(spark, sf_dir), LATIN.tables(spark), LATIN.bias, LATIN.char_window, LATIN.type_window)
+    total = s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max("score").alias("highest"), F.min("score").alias("lowest"), F.count_if(F.col("score") > 0).alias("above"))
+    return total
 
 
 _type_only = Model(LATIN.bias, 0, LATIN.type_window, [], LATIN.type_ngrams, [])
@@ -278,7 +324,7 @@ _type_only = Model(LATIN.bias, 0, LATIN.type_window, [], LATIN.type_ngrams, [])
 
 @query("score_type_only", f"WITH {_scores_sql('doc_id', 'documents', _type_only)} SELECT doc_id, CAST(sum(score * (b % 97)) AS BIGINT) AS weighted FROM s WHERE b <= n - 2 GROUP BY doc_id")
 def score_type_only(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", predict.scores(spark, _type_only, F.col("text")).alias("s")).where("size(s) > 0")
+    s = _scored(spark, sf_dir).select("doc_id", predict.scores(spark, _type_only, F.col("text")).alias("s"))
     return s.select("doc_id", F.aggregate(F.transform("s", lambda x, i: x * (i % 97)), F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"))
 
 
@@ -287,6 +333,29 @@ def predict_tokens_latin(spark, sf_dir):
     return pipeline.predict(table(spark, sf_dir, "documents").where("text <> ''"), LATIN, norm=False).select("doc_id", "tokenized")
 
 
+_lines_of = ["0:この -22", "1:の人 54", "2:人は 58", "3:は地 43", "4:地球 -54", "5:球人 68", "6:人だ 48"]
+
+
+@query("score_lines", literal(["pos", "line"], list(enumerate(_lines_of))))
+def score_lines(spark, sf_dir):
+    got = pipeline.predict(spark.createDataFrame([("この人は地球人だ",)], "text string"), SPEC, scores=True)
+    return got.select(F.posexplode("score_lines").alias("pos", "line"))
+
+
+@query("score_lines_documents", f"WITH {_scores_sql('doc_id', 'documents', LATIN)}, p AS (SELECT doc_id, b, n, score, c || lead(c) OVER (PARTITION BY doc_id ORDER BY b) AS pair FROM s) SELECT doc_id, string_agg(b || ':' || pair || ' ' || score, chr(10) ORDER BY b) AS lines FROM p WHERE b <= n - 2 GROUP BY doc_id")
+def score_lines_documents(spark, sf_dir):
+    return pipeline.predict(_scored(spark, sf_dir), LATIN, scores=True, norm=False).select("doc_id", F.array_join("score_lines", "\n").alias("lines"))
+
+
+_tag_lines = ["この", "人\t名詞:76,接尾辞:4\tジン:4,ヒト:82", "は", "地球\t名詞:0\tマンホーム:2,チキュー:92", "人\t名詞:8,接尾辞:74\tジン:76,ヒト:8", "だ"]
+
+
+@query("tag_score_lines", literal(["pos", "line"], list(enumerate(_tag_lines))))
+def tag_score_lines(spark, sf_dir):
+    got = pipeline.predict(spark.createDataFrame([("この人は地球人だ",)], "text string"), SPEC, tag_scores=True)
+    return got.select(F.posexplode("tag_score_lines").alias("pos", "line"))
+
+
 _text = "我らは全世界の国民"
 GOLDENS = {
     "F1": (SPEC, "この人は地球人だ", [-22, 54, 58, 43, -54, 68, 48]),
@@ -341,18 +410,18 @@ def pattern_tagger_documents(spark, sf_dir):
 @query("dict_replace_effect", literal(["b", "change"], [(b, {3: -10000, 4: 10000}.get(b, 0)) for b in range(10)]))
 def dict_replace_effect(spark, sf_dir):
     before = Model(7, 3, 3, [("外国", [1, -2, 3, -4, 5])], [("55", [4, -3, 2, -1, 6])], [])
-    with tempfile.TemporaryDirectory() as d:
-        dump_dictionary(before.with_dictionary([("参政権", [0, -10000, 10000, 0], 'edited, "by hand"')]), spark, f"{d}/dict")
-        after = before.with_dictionary(load_dictionary(spark, f"{d}/dict"), strict=True)
+    d = shared_dir(spark)
+    dump_dictionary(before.with_dictionary([("参政権", [0, -10000, 10000, 0], 'edited, "by hand"')]), spark, f"{d}/dict")
+    after = before.with_dictionary(load_dictionary(spark, f"{d}/dict"), strict=True)
     df = spark.createDataFrame([("外国人参政権と政権交代",)], "text string")
     return df.select(F.posexplode(F.zip_with(predict.scores(spark, after, F.col("text")), predict.scores(spark, before, F.col("text")), lambda a, b: a - b)).alias("b", "change"))
 
 
 @query("model_formats", literal(["format", "same"], [("binary", True), ("compressed", True), ("tables", True)]))
 def model_formats(spark, sf_dir):
-    with tempfile.TemporaryDirectory() as d:
-        SPEC.write(spark, f"{d}/model")
-        same = Model.read(spark, f"{d}/model") == SPEC
+    d = shared_dir(spark)
+    SPEC.write(spark, f"{d}/model")
+    same = Model.read(spark, f"{d}/model") == SPEC
     return spark.createDataFrame([("binary", binary.decode(binary.encode(SPEC, level=None)) == SPEC), ("compressed", binary.decode(binary.encode(SPEC)) == SPEC), ("tables", same)], "format string, same boolean")
 
 
@@ -373,6 +442,43 @@ def default_tags(spark, sf_dir):
     return text.default_tag_rows(tokens, spark.createDataFrame([("は",)], "surface string")).select("surface", F.get("tags", F.lit(0)).alias("tag"))
 
 
+_trie_chars = "人だDK"
+
+
+def _trie_model() -> bytes:
+    """A model of the trie format with one n-gram of each kind and a dictionary word."""
+    import struct
+
+    p = lambda f, *v: struct.pack("<" + f, *v)
+    string = lambda s: p("I", len(s)) + b"".join(p("H", _trie_chars.index(c) + 1) for c in s)
+    numbers = lambda v: p("I", len(v)) + b"".join(p("h", x) for x in v)
+
+    def trie(words: str, entries: list[bytes], n_dicts: int = 1) -> bytes:
+        out = p("BI", n_dicts, len(words) + 1)
+        out += p("II", 0, len(words)) + b"".join(p("HI", _trie_chars.index(w) + 1, i + 1) for i, w in enumerate(words)) + p("IB", 0, 0)
+        out += b"".join(p("II", 0, 0) + p("II", 1, i) + p("B", 1) for i in range(len(words)))
+        return out + p("I", len(entries)) + b"".join(entries)
+
+    none = p("BI", 0, 0)
+    # the word is in both dictionaries, so its weights are those of both
+    lookup = p("B", 1) + trie("人", [numbers([1, 2, 3, 4])]) + trie("K", [numbers([5, 6, 7])]) + none + numbers([8, 9, 10, 20, 30, 40]) + numbers([-3]) + numbers([]) + numbers([])
+    linear = p("I", 2) + p("B", 1) + p("ii", 1, 2) + p("Bd", 1, 1.0) + lookup
+    data = p("BBI", 1, 0, 0) + p("BBBBBBdB", 1, 3, 1, 3, 1, 1, 0.1, 5) + _trie_chars.encode() + b"\0" + linear
+    return b"tag\n" + data + trie("だ", [string("だ") + p("B", 3)], 2) + none
+
+
+@query("convert", literal(["kind", "pattern", "weights"], [("bias", "", "-3"), ("char", "人", "1 2"), ("dict", "だ", "28 50"), ("type", "5", "5 6")]))
+def convert(spark, sf_dir):
+    m = binary.convert(_trie_model())
+    rows = [("bias", "", [m.bias]), *(("char", g, w) for g, w in m.char_ngrams), *(("type", g, w) for g, w in m.type_ngrams), *(("dict", d, w) for d, w, _ in m.dictionary)]
+    return spark.createDataFrame([(k, g, " ".join(map(str, w))) for k, g, w in rows], "kind string, pattern string, weights string")
+
+
+@query("version", literal(["version"], [(__version__,)]))
+def version(spark, sf_dir):
+    return spark.createDataFrame([(__version__,)], "version string")
+
+
 # training
 
 _config = train.Config(char_window=2, char_n=2, type_window=2, type_n=2)
@@ -412,6 +518,13 @@ def train_resegment(spark, sf_dir):
     return pipeline.predict(df, model).select(F.col("tokenized").alias("line"))
 
 
+@query("assemble_dict", literal(["word", "weights"], [("ab", "1 2 3"), ("abcdef", "4 5 5 5 5 5 6"), ("x", "0 0")]))
+def assemble_dict(spark, sf_dir):
+    buckets = {("L", 2): 1, ("I", 2): 2, ("R", 2): 3, ("L", 4): 4, ("I", 4): 5, ("R", 4): 6}
+    got = train.assembled_dictionary(["abcdef", "ab", "x", "ab"], buckets, 4)
+    return spark.createDataFrame([(w, " ".join(map(str, x))) for w, x, _ in got], "word string, weights string")
+
+
 # evaluation
 
 
@@ -439,8 +552,21 @@ WITH r AS ({_tokens_of.format(f"{DIGITS}|{LETTERS}|(?s:.)")}), s AS ({_tokens_of
 k AS (SELECT (SELECT count(*) FROM r JOIN s USING (doc_id, e, n)) AS n_cor, (SELECT count(*) FROM s) AS n_sys, (SELECT count(*) FROM r) AS n_ref),
 p AS (SELECT *, n_cor / n_sys AS precision, n_cor / n_ref AS recall FROM k) SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM p""")
 def eval_word(spark, sf_dir):
-    df = _two_rules(spark, sf_dir)
-    return evaluate.eval_word(df, segment.spans(F.col("n"), F.col("ref")), segment.spans(F.col("n"), F.col("sys")))
+    return evaluate.eval_word_marks(_two_rules(spark, sf_dir), F.col("n"), F.col("ref"), F.col("sys"))
+
+
+_eval_lines = ["この 人/名詞/ヒト は 地球/名詞/チキュー 人/名詞/ジン だ", "", "人"]
+
+
+@query("eval_flags", literal(["metric", "tags", "hits", "system", "reference"], [("char", False, 5, 5, 5), ("word", False, 7, 7, 7), ("word", True, 5, 7, 7)]))
+def eval_flags(spark, sf_dir):
+    """Both measures, by word also with tags: of the last sentence's only word the model has tags, the line has none."""
+    lines = spark.createDataFrame([(x,) for x in _eval_lines], "line string")
+    char = pipeline.evaluate(lines, SPEC).select(F.lit("char").alias("metric"), F.lit(False).alias("tags"), F.col("tp").alias("hits"), (F.col("tp") + F.col("fp")).alias("system"), (F.col("tp") + F.col("fn")).alias("reference"))
+    for tags in (False, True):
+        word = pipeline.evaluate(lines, SPEC, metric="word", predict_tags=tags)
+        char = char.unionByName(word.select(F.lit("word").alias("metric"), F.lit(tags).alias("tags"), F.col("n_cor").alias("hits"), F.col("n_sys").alias("system"), F.col("n_ref").alias("reference")))
+    return char
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ class Trie:
                 k = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[node], count)
                 target = begin + self.offset[k]
                 ok = (target >= first[of[begin]]) & (target < last[of[begin]] - 1)
-                np.add.at(scores, target[ok], self.weight[k[ok]])
+                scores += np.bincount(target[ok], weights=self.weight[k[ok]], minlength=len(scores)).astype(np.int64)  # whole numbers below 2**53: exact
 
 
 @dataclass
@@ -210,16 +210,12 @@ def exploded_scores(docs: DataFrame, model_tables: dict[str, DataFrame], bias: i
     )
     lengths = [tuple(r) for r in patterns.select("kind", F.length("g").alias("n")).distinct().orderBy("kind", "n").collect()]
     base = docs.where("length(text) > 1").select("doc_id", chars(F.col("text")).alias("c")).withColumn("t", F.transform("c", lambda x: char_type(x).cast("string")))
-    pairs = [
-        base.select("doc_id", F.size("c").alias("n"), F.lit(k).alias("kind"), F.posexplode(ngrams(F.col("c" if k == "c" else "t"), n)).alias("s", "g")).where(F.col("n") >= n)
-        for k, n in lengths
-    ]
     every = base.select("doc_id", F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("b"))
-    if len(pairs) == 0:
+    if not lengths:
         return every.select("doc_id", "b", F.lit(bias).cast("long").alias("score"))
-    occurrences = pairs[0]
-    for p in pairs[1:]:  # a few: one a length
-        occurrences = occurrences.unionByName(p)
+    # one scan: the substrings of all lengths together, joined before anything is shuffled where the patterns are small enough for Spark to broadcast
+    of = lambda k, n: F.transform(ngrams(F.col("c" if k == "c" else "t"), n), lambda g, i: F.struct(F.lit(k).alias("kind"), i.alias("s"), g.alias("g")))
+    occurrences = base.select("doc_id", F.size("c").alias("n"), F.explode(F.concat(*(of(k, n) for k, n in lengths))).alias("x")).select("doc_id", "n", "x.*")
     hits = occurrences.join(patterns, ["kind", "g"]).select("doc_id", "n", "s", "o", F.posexplode("weights").alias("k", "w"))
     added = hits.select("doc_id", (F.col("s") + F.col("o") + F.col("k")).alias("b"), "w", "n").where("b between 0 and n - 2").groupBy("doc_id", "b").agg(F.sum("w").alias("w"))
     return every.join(added, ["doc_id", "b"], "left").select("doc_id", "b", (F.lit(bias) + F.coalesce("w", F.lit(0))).cast("long").alias("score"))

@@ -16,7 +16,8 @@ from ..functions.sentence import UNKNOWN, WORD
 _TOKEN = pa.struct([("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("byte_start", pa.int32()), ("byte_end", pa.int32())])
 
 
-def _ends(n: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def known_spans(n: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens of a text of n characters start and end, without those that hold an unknown mark."""
     ends = np.append(np.flatnonzero(marks == WORD) + 1, n)
     starts = np.append(0, ends[:-1])
     if (marks == UNKNOWN).any():
@@ -40,7 +41,7 @@ def token_array(text: Column, boundaries: Column) -> Column:
                 continue
             raw = np.frombuffer(t.encode(), dtype=np.uint8)
             at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-            starts, ends = _ends(len(t), marks[i].values.to_numpy(zero_copy_only=False))
+            starts, ends = known_spans(len(t), marks[i].values.to_numpy(zero_copy_only=False))
             surface += [t[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
             numbers.append((starts, ends, at[starts], at[ends]))
             counts.append(len(starts))
@@ -62,6 +63,7 @@ def spans(n: Column, boundaries: Column) -> Column:
 
 def token_table(df: DataFrame, keys: list[str], text: Column, boundaries: Column, offsets: bool = False) -> DataFrame:
     """A row for each token: keys, pos, surface, start, end; with offsets also byte_start, byte_end and position_length, the number of the text's tokens. A text without characters has no rows."""
-    got = df.select(*keys, token_array(text, boundaries).alias("_t")).select(*keys, F.size("_t").alias("position_length"), F.posexplode("_t").alias("pos", "t"))
+    # an inner explode would have the optimiser filter on the size of the array first, which runs the cutting twice
+    got = df.select(*keys, token_array(text, boundaries).alias("_t")).select(*keys, F.size("_t").alias("position_length"), F.posexplode_outer("_t").alias("pos", "t")).where("pos is not null")
     more = ["t.byte_start", "t.byte_end", "position_length"] if offsets else []
     return got.select(*keys, "pos", "t.surface", "t.start", "t.end", *more)

@@ -60,11 +60,9 @@ def boundary_features(df: DataFrame, key: str, text: Column, config: Config) ->
 def dict_features(df: DataFrame, key: str, text: Column, words: DataFrame, dict_n: int) -> DataFrame:
     """(key, b, kind, len, n): for each word of the dictionary in the text L before it, I inside, R behind it; lengths above dict_n count as dict_n. words: word. Joined on the substrings of the lengths that words have."""
     lengths = [r.n for r in words.select(F.length("word").alias("n")).distinct().orderBy("n").collect()] or [1]
-    base = df.select(F.col(key), chars(text).alias("_c")).withColumn("_n", F.size("_c"))
-    hit = None
-    for k in lengths:
-        part = base.where(F.col("_n") >= k).select(key, "_n", F.posexplode(ngrams(F.col("_c"), k)).alias("s", "word")).withColumn("e", F.col("s") + k)
-        hit = part if hit is None else hit.unionByName(part)
+    base = df.where(F.length(text) > 0).select(F.col(key), chars(text).alias("_c")).withColumn("_n", F.size("_c"))
+    of = lambda k: F.transform(ngrams(F.col("_c"), k), lambda g, i: F.struct(i.alias("s"), (i + k).alias("e"), g.alias("word")))
+    hit = base.select(key, "_n", F.explode(F.concat(*map(of, lengths))).alias("_x")).select(key, "_n", "_x.*")
     hit = hit.join(words.select("word").distinct(), "word")
     cell = lambda b, kind: F.struct(b.cast("int").alias("b"), F.lit(kind).alias("kind"))
     s, e = F.col("s"), F.col("e")
@@ -147,12 +145,12 @@ def assembled(weights: dict[tuple[str, int], int], window: int) -> list[tuple[st
 
 
 def assembled_dictionary(words: list[str], buckets: dict[tuple[str, int], int], dict_n: int) -> list[tuple[str, list[int], str]]:
+    """Every word with the weights of its length, those without any included: the dictionary that is dumped has all words."""
     out = []
     for word in sorted(set(words)):
         k = min(len(word), dict_n)
         l, i, r = (buckets.get((kind, k), 0) for kind in "LIR")
-        if l or i or r:
-            out.append((word, [l, *[i] * (len(word) - 1), r], ""))
+        out.append((word, [l, *[i] * (len(word) - 1), r], ""))
     return out
 
 

@@ -14,6 +14,10 @@ from ..operators.model import Model
 from ..operators.segment import spans, token_array, token_table
 
 
+#: Begins the names of intermediate columns.
+OWN = "_kugiri_"
+
+
 def _escaped(c: Column) -> Column:
     return F.regexp_replace(c, "([ \\\\/])", "\\\\$1")
 
@@ -22,29 +26,30 @@ def predict(docs: DataFrame, model: Model, text: str = "text", wsconst: str = ""
     """docs with columns boundaries, spans, tags (with predict_tags) and tokenized; with scores or tag_scores also the lines of these.
 
     Scored on the full-width text unless norm is off; boundaries and tags then stand on the text as it is. Texts that are
-    empty, null or hold NUL have null boundaries and an empty tokenized text.
+    empty, null or hold NUL have null boundaries and an empty tokenized text. Columns of docs that are named as these are
+    replaced; all others stay.
     """
     spark, raw = docs.sparkSession, F.col(text)
     ok = (F.length(raw) > 0) & (F.instr(raw, "\0") == 0)
     wide = fullwidth(raw) if norm else raw
-    got = docs.withColumn("_wide", F.when(ok, wide)).withColumn("_scores", P.scores(spark, model, F.col("_wide")))
-    got = got.withColumn("boundaries", chain(chars(F.col("_wide")), P.boundaries(F.col("_scores")), wsconst) if wsconst else P.boundaries(F.col("_scores")))
-    got = got.withColumn("_tokens", token_array(F.when(ok, raw), F.col("boundaries"))).withColumn("spans", F.transform("_tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
+    got = docs.withColumn(OWN + "wide", F.when(ok, wide)).withColumn(OWN + "scores", P.scores(spark, model, F.col(OWN + "wide")))
+    got = got.withColumn("boundaries", chain(chars(F.col(OWN + "wide")), P.boundaries(F.col(OWN + "scores")), wsconst) if wsconst else P.boundaries(F.col(OWN + "scores")))
+    got = got.withColumn(OWN + "tokens", token_array(F.when(ok, raw), F.col("boundaries"))).withColumn("spans", F.transform(OWN + "tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
     n_tags = max([0, *(len(t.tags) for t in model.tag_models)])
     if predict_tags or tag_scores:
-        got = got.withColumn("_cands", P.tag_candidates(spark, model, F.col("_wide"), F.col("spans"))).withColumn("tags", P.tags_of(F.col("_cands"), n_tags))
+        got = got.withColumn(OWN + "cands", P.tag_candidates(spark, model, F.col(OWN + "wide"), F.col("spans"))).withColumn("tags", P.tags_of(F.col(OWN + "cands"), n_tags))
     if predict_tags:
         mark = lambda tags: F.regexp_replace(F.array_join(F.transform(tags, lambda t: F.concat(F.lit("/"), F.coalesce(_escaped(t), F.lit("")))), ""), "(?<!\\\\)/+$", "")
-        words = F.zip_with("_tokens", "tags", lambda t, tags: F.concat(_escaped(t["surface"]), mark(tags)))
+        words = F.zip_with(OWN + "tokens", "tags", lambda t, tags: F.concat(_escaped(t["surface"]), mark(tags)))
     else:
-        words = F.transform("_tokens", lambda t: _escaped(t["surface"]))
+        words = F.transform(OWN + "tokens", lambda t: _escaped(t["surface"]))
     got = got.withColumn("tokenized", F.coalesce(F.array_join(words, " "), F.lit("")))
     if scores:
-        got = got.withColumn("score_lines", F.transform(F.arrays_zip(ngrams(chars(F.col("_wide")), 2).alias("pair"), F.col("_scores").alias("score")), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x["pair"], F.lit(" "), x["score"].cast("string"))))
+        got = got.withColumn("score_lines", F.transform(F.arrays_zip(ngrams(chars(F.col(OWN + "wide")), 2).alias("pair"), F.col(OWN + "scores").alias("score")), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x["pair"], F.lit(" "), x["score"].cast("string"))))
     if tag_scores:
         pair = lambda x: F.concat(x["tag"], F.lit(":"), x["score"].cast("string"))
-        got = got.withColumn("tag_score_lines", F.zip_with("_tokens", "_cands", lambda t, c: F.concat(t["surface"], F.array_join(F.transform(c, lambda slot: F.concat(F.lit("\t"), F.array_join(F.transform(slot, pair), ","))), ""))))
-    return got.drop(*(c for c in got.columns if c.startswith("_")))
+        got = got.withColumn("tag_score_lines", F.zip_with(OWN + "tokens", OWN + "cands", lambda t, c: F.concat(t["surface"], F.array_join(F.transform(c, lambda slot: F.concat(F.lit("\t"), F.array_join(F.transform(slot, pair), ","))), ""))))
+    return got.drop(*(c for c in got.columns if c.startswith(OWN)))
 
 
 def evaluate(lines: DataFrame, model: Model, metric: str = "char", wsconst: str = "", predict_tags: bool = False, norm: bool = True) -> DataFrame:
@@ -69,7 +74,7 @@ def evaluate(lines: DataFrame, model: Model, metric: str = "char", wsconst: str
 def search_tokens(docs: DataFrame, model: Model, keys: list[str], text: str = "text", wsconst: str = "") -> DataFrame:
     """Tokens for a search index: byte offsets on the text as it is, position, and position_length, the number of the text's tokens. Line breaks are split first, then wsconst; an empty text has no tokens."""
     raw = F.col(text)
-    wide = F.when((F.length(raw) > 0) & (F.instr(raw, "\0") == 0), fullwidth(raw))
-    got = docs.withColumn("_wide", wide).withColumn("_b", P.boundaries(P.scores(docs.sparkSession, model, F.col("_wide"))))
-    got = got.withColumn("_b", chain(chars(F.col("_wide")), F.col("_b"), wsconst, breaks=True)).where("_b is not null")
-    return token_table(got, keys, raw, F.col("_b"), offsets=True)
+    got = docs.where((F.length(raw) > 0) & (F.instr(raw, "\0") == 0))  # on the text: a filter on what is scored would score twice
+    got = got.withColumn(OWN + "wide", fullwidth(raw)).withColumn(OWN + "b", P.boundaries(P.scores(docs.sparkSession, model, F.col(OWN + "wide"))))
+    got = got.withColumn(OWN + "b", chain(chars(F.col(OWN + "wide")), F.col(OWN + "b"), wsconst, breaks=True))
+    return token_table(got, keys, raw, F.col(OWN + "b"), offsets=True)

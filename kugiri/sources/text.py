@@ -12,13 +12,13 @@ from ..operators.segment import token_array
 def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """(line): split at line feeds alone, one carriage return at the end taken off."""
     reader = spark.readStream if stream else spark.read
-    return reader.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\\r$", "").alias("line"))
+    return reader.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\\r\\z", "").alias("line"))
 
 
 def dictionary_words(lines: DataFrame) -> DataFrame:
     """(word): the distinct tokens of tokenized lines, in order."""
     s = lines.select(from_tokenized(F.col("line")).alias("s")).where("s.text is not null")
-    return s.select(F.explode(token_array(F.col("s.text"), F.col("s.boundaries"))).alias("t")).select(F.col("t.surface").alias("word")).distinct().orderBy("word")
+    return s.select(F.explode_outer(token_array(F.col("s.text"), F.col("s.boundaries"))).alias("t")).select(F.col("t.surface").alias("word")).where("word is not null").distinct().orderBy("word")
 
 
 def default_tag_rows(tokens: DataFrame, corpus: DataFrame) -> DataFrame:

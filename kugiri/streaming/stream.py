@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.chars import chars
 from ..operators.filters import chain
 from ..operators.segment import token_table
+from ..sources.tables import shared_dir
 
 
 def rule_tokens(lines: DataFrame, keys: list[str], text: str, codes: str = "DR", breaks: bool = True) -> DataFrame:
@@ -17,13 +18,15 @@ def rule_tokens(lines: DataFrame, keys: list[str], text: str, codes: str = "DR",
     return token_table(lines.where(F.length(text) > 0), keys, F.col(text), chain(c, ones, codes, breaks))
 
 
-def run_to_memory(stream: DataFrame, name: str) -> DataFrame:
-    """The rows that a stream gives for what is there now."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """The rows that a stream gives for what is there now, as a table in the shared folder, where its checkpoint is too."""
+    spark = stream.sparkSession
+    path = shared_dir(spark)
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
         if q.exception():
             raise q.exception()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)

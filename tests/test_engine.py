@@ -165,3 +165,51 @@ def test_trie_format():
     data = b"tag\n" + p("BBI", 1, 0, 0) + p("BBBBBBdB", 1, 3, 1, 3, 1, 1, 0.1, 5) + chars.encode() + b"\0" + linear + trie("だ", [entry]) + none
     m = binary.convert(data)
     assert m == Model(-3, 1, 1, [("人", [1, 2])], [("5", [5, 6])], [("だ", [8, 10], "")])
+
+
+def python_runs(df):
+    """How many Arrow evaluations the plan has."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_token_and_score_functions_run_once(spark, tmp_path):
+    from kugiri import catalog
+
+    rows = [(1, "the ent. 12", "en", "s", 0), (2, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "the ent")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("flagship", "tok_offsets", "pattern_tagger_documents", "score_boundary_latin", "score_type_only", "eval_word"):
+        assert python_runs(catalog.QUERIES[name](spark, str(tmp_path))) == 1, name
+    df = spark.createDataFrame([(1, "a\nb")], "id int, text string")
+    assert python_runs(pipeline.search_tokens(df, Model(bias=1), ["id"])) == 2  # scores, then tokens
+
+
+def test_predict_keeps_the_columns_of_its_input(spark):
+    df = spark.createDataFrame([(1, "この人", 7, 8)], "id int, text string, _x int, _scores int")
+    r = pipeline.predict(df, SPEC).first()
+    assert (r._x, r._scores) == (7, 8) and r.tokenized == "この 人"
+
+
+def test_dictionary_keeps_words_without_weights():
+    assert train.assembled_dictionary(["ab", "cde"], {("L", 2): 1}, 4) == [("ab", [1, 0, 0], ""), ("cde", [0, 0, 0, 0], "")]
+
+
+def test_words_by_marks_are_those_by_spans(spark):
+    from kugiri.operators import evaluate, segment
+
+    rows = [(5, [1, 0, 1, 0], [1, 1, 1, 0]), (3, [2, 0], [1, 0]), (1, [], []), (0, [], []), (4, None, [0, 0, 0]), (3, [1, 2], [1, 0])]
+    df = spark.createDataFrame(rows, "n int, r array<int>, s array<int>")
+    a = evaluate.eval_word_marks(df, F.col("n"), F.col("r"), F.col("s")).first()
+    b = evaluate.eval_word(df.where("r is not null"), segment.spans(F.col("n"), F.col("r")), segment.spans(F.col("n"), F.col("s"))).first()
+    assert a == b and a.n_cor == 4
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from kugiri.sources.tables import shared_dir
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: nothing)))
+    assert shared_dir(spark).startswith("file:")
