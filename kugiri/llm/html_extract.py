@@ -6,12 +6,14 @@ document tree. The source side of the least cut is the content: the labelling wi
 Blocks whose terminal outweighs all their edges are labelled first, which leaves the least cut as it is; augmenting paths
 settle the rest. Capacities are whole numbers, so the cut is exact; of several least cuts it is the one with the least content.
 
-The classifier is a logistic regression over the length, links, punctuation, element and surroundings of a block, fitted on the
-blocks of at most FIT_PAGES pages, drawn by a hash of page_id (a documented bound), that stand in an element which says what it
-holds (article, main, nav, footer, ...). With no such block in the sample PRIOR is used.
+The classifier is a logistic regression over the length, links, punctuation, element, place and neighbours of a block, fitted on
+the blocks of at most FIT_PAGES pages, drawn by a hash of page_id (a documented bound), that stand in an element which says what
+it holds (article, main, nav, footer, ...; an advertisement's class). What the labels are read from (the features TOLD) is kept
+out of the fit, so that pages without such elements are told by the rest; where a page has them, they add their weight in PRIOR.
+With no such block in the sample PRIOR is used.
 
 A null page has null text; one without text has empty text and no blocks. Pages are read to their end. Repeated rows are
-extracted each; columns other than page_id, url and html are ignored.
+extracted each; columns other than page_id, url and html are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,21 +35,46 @@ GOOD = frozenset(("article", "main"))
 POOR = frozenset(("nav", "footer", "aside", "header", "form", "menu"))
 HINT = re.compile(r"(?:^|[\W_])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|menu|nav\w*|footer|sidebar|cookie\w*|breadcrumbs?|share|social|comments?|related|newsletter)(?:$|[\W_])")
 STOP = re.compile(r"[.!?;:,]")
-#: bias, log words, links, punctuation, heading, paragraph, list or table, in content element, in boilerplate element, hint
-PRIOR = np.array([-1.5, 0.8, -3.0, 3.0, 0.5, 0.8, -0.5, 2.0, -3.0, -3.0])
-
-
-def features(b: Block) -> list[float]:
-    words = b.text.count(" ") + 1
-    tags = [x[0] for x in b.path]
-    tag = tags[-1] if tags else ""
-    return [
-        1.0, min(np.log1p(words), 6.0), b.linked / len(b.text), min(len(STOP.findall(b.text)) / words, 1.0), float(tag in ("h1", "h2", "h3", "h4")), float(tag in ("p", "blockquote", "pre")),
-        float(tag in ("li", "td", "th", "dt", "dd", "option", "button")), float(not GOOD.isdisjoint(tags)), float(not POOR.isdisjoint(tags)), float(any(h and HINT.search(h) for _, _, h in b.path)),
-    ]
+#: bias, log words, links, punctuation, heading, paragraph, list or table, in content element, in boilerplate element, hint, a title comes later, share of the page before it, last, log words before and behind, links beside, sign of rights
+PRIOR = np.array([-1.5, 0.8, -3.0, 3.0, 0.5, 0.8, -0.5, 2.0, -3.0, -3.0, -1.0, 0.0, -0.5, 0.1, 0.1, -0.5, -2.0])
+TOLD = slice(7, 10)
+RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights\b|tous droits\b|alle rechte\b|todos los derechos\b)", re.I)
+
+
+def told(b: Block) -> tuple[bool, bool, bool]:
+    """Whether the elements around a block say content, boilerplate, or hint at the latter; worked out once an element."""
+    if b.node is None:
+        return False, False, False
+    todo, at = [], b.node
+    while at and "told" not in at.kept:
+        todo.append(at)
+        at = at.parent
+    got = at.kept["told"] if at else (False, False, False)
+    for node in reversed(todo):
+        got = node.kept["told"] = (got[0] or node.tag in GOOD, got[1] or node.tag in POOR, got[2] or bool(node.hint and HINT.search(node.hint)))
+    return got
+
+
+def features(blocks: list[Block]) -> np.ndarray:
+    """A row for each block of a page."""
+    n = len(blocks)
+    words = [b.text.count(" ") + 1 for b in blocks]
+    size = [min(np.log1p(w), 6.0) for w in words]
+    links = [b.linked / len(b.text) for b in blocks]
+    tags = [b.node.tag if b.node else "" for b in blocks]
+    title = max((i for i, t in enumerate(tags) if t == "h1"), default=-1)
+    chars = np.cumsum([0, *(len(b.text) for b in blocks)])
+    out = np.zeros((n, len(PRIOR)))
+    for i, b in enumerate(blocks):
+        beside = [links[k] for k in (i - 1, i + 1) if 0 <= k < n]
+        out[i] = (
+            1.0, size[i], links[i], min(len(STOP.findall(b.text)) / words[i], 1.0), tags[i] in ("h1", "h2", "h3", "h4"), tags[i] in ("p", "blockquote", "pre"), tags[i] in ("li", "td", "th", "dt", "dd", "option", "button"),
+            *told(b), i < title, chars[i] / max(chars[-1], 1), i == n - 1 and n > 1, size[i - 1] if i else 0.0, size[i + 1] if i + 1 < n else 0.0, sum(beside) / max(len(beside), 1), bool(RIGHTS.match(b.text)),
+        )
+    return out
 
 
-def weak_label(x: list[float]) -> float | None:
+def weak_label(x: np.ndarray) -> float | None:
     return 0.0 if x[8] or x[9] else 1.0 if x[7] else None
 
 
@@ -57,7 +84,7 @@ def edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
     for i, b in enumerate(blocks):
         if i:
             out[i - 1, i] = out.get((i - 1, i), 0) + ADJACENT / (1 + apart(blocks[i - 1], b))
-        parent = b.path[-2][1] if len(b.path) > 1 else 0
+        parent = b.node.parent.number if b.node and b.node.parent else 0
         if parent in last:
             out[last[parent], i] = out.get((last[parent], i), 0) + SIBLING
         last[parent] = i
@@ -66,10 +93,14 @@ def edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
 
 def apart(a: Block, b: Block) -> int:
     """Steps between the elements of two blocks in the document tree."""
-    k = 0
-    while k < min(len(a.path), len(b.path)) and a.path[k][1] == b.path[k][1]:
-        k += 1
-    return len(a.path) + len(b.path) - 2 * k
+    x, y, steps = a.node, b.node, 0
+    while x is not y:
+        if y is None or x is not None and x.depth >= y.depth:
+            x = x.parent
+        else:
+            y = y.parent
+        steps += 1
+    return steps
 
 
 def least_cut(source: list[int], sink: list[int], joined: list[tuple[int, int, int]]) -> list[bool]:
@@ -127,16 +158,17 @@ def labelled(html: str, weights: np.ndarray) -> list[tuple[Block, bool]]:
     blocks = read(html)
     if not blocks:
         return []
-    z = np.clip(np.array([features(b) for b in blocks]) @ weights, -20, 20)
+    z = np.clip(features(blocks) @ weights, -20, 20)
     good, poor = np.rint(np.logaddexp(0, z) * SCALE).astype(int).tolist(), np.rint(np.logaddexp(0, -z) * SCALE).astype(int).tolist()
     return list(zip(blocks, least_cut(good, poor, edges(blocks))))
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights by Newton's method, drawn towards PRIOR."""
+    """Weights by Newton's method, drawn towards PRIOR; those of TOLD are PRIOR's."""
     if not len(y) or y.min() == y.max():
         return PRIOR
-    w = PRIOR.copy()
+    w, x = PRIOR.copy(), x.copy()
+    x[:, TOLD] = 0
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         s = np.maximum(p * (1 - p), 1e-6)
@@ -150,7 +182,7 @@ def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def learn(pages: DataFrame, rows: int = FIT_PAGES) -> np.ndarray:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(f, y) for h in b.column(0).to_pylist() for f in map(features, read(h)) if (y := weak_label(f)) is not None]
+            got = [(f.tolist(), y) for h in b.column(0).to_pylist() for f in features(read(h)) if (y := weak_label(f)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.list_(pa.float64())), pa.array([y for _, y in got], pa.float64())], ["x", "y"])
 
     # ids alone are drawn, then broadcast, so that no task gathers pages
