@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +71,16 @@ def keys(batches: Iterator[pa.RecordBatch], lo: list[float], hi: list[float]) ->
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(hilbert(np.column_stack(step), BITS))], ["doc_id", "n", "key"])
 
 
+def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, doc_id, n, within): the words of the partition before each document, in the order of the rows."""
+    part, total = TaskContext.get().partitionId(), 0
+    for b in batches:
+        n = b.column("n").to_numpy()
+        ends = total + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, dtype=np.int32)), b.column("doc_id"), b.column("n"), pa.array(ends - n)], ["part", "doc_id", "n", "within"])
+        total = int(ends[-1]) if len(ends) else total
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(seq, pos, doc_id, start, length): from word start on, length words of the document are at word pos of sequence seq."""
     if capacity < 1:
@@ -83,14 +94,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sorted_ = core.written(
         placed.mapInArrow(lambda it: keys(it, lo, hi), "doc_id long, n long, key long")
         .repartitionByRange("key", "doc_id")
-        .sortWithinPartitions("key", "doc_id")
-        .withColumn("part", F.spark_partition_id())
+        .sortWithinPartitions("key", "doc_id", "n")
+        .mapInArrow(running, "part int, doc_id long, n long, within long")
     )
     sums = sorted_.groupBy("part").agg(F.sum("n").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
-    along = Window.partitionBy("part").orderBy("key", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
     c = F.lit(capacity).cast("long")
-    at = sorted_.withColumn("within", F.sum("n").over(along) - F.col("n")).join(before, "part").select("doc_id", "n", (F.col("before") + F.col("within")).alias("at"))
+    at = sorted_.join(F.broadcast(before), "part").select("doc_id", "n", (F.col("before") + F.col("within")).alias("at"))
     cut = at.select("doc_id", "n", "at", F.explode(F.sequence(F.expr(f"at div {capacity}L"), F.expr(f"(at + n - 1) div {capacity}L"))).alias("seq"))
     start = F.greatest(F.lit(0), F.col("seq") * c - F.col("at"))
     stop = F.least(F.col("n"), (F.col("seq") + 1) * c - F.col("at"))
