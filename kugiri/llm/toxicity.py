@@ -75,10 +75,15 @@ class Matcher:
                 node = self.child[node][c]
                 self.most[node] = max(self.most[node], most)
             self.ends[node] = (most, len(word), stem or self.ends.get(node, (0, 0, False))[2])
+        self.forget()
+
+    def forget(self) -> None:
+        """The states that were made; they are made again as words ask for them."""
         self.ids: dict[frozenset, int] = {frozenset(): 0}
         self.sets: list[frozenset] = [frozenset()]
         self.step: list[dict[str, int]] = [{}]
         self.found: list[int | None] = [None]
+        self.moves = 0
         self.start = self.state({(0, 0)})
 
     def state(self, raw: set[tuple[int, int]]) -> int:
@@ -113,10 +118,13 @@ class Matcher:
             if node:
                 raw.add((node, e + 1))
         self.step[s][c] = to = self.state(raw) if raw else 0
+        self.moves += 1
         return to
 
     def errors(self, word: str) -> int | None:
         """The least number of errors with which a term is found, None if none is."""
+        if self.moves > REMEMBERED:
+            self.forget()
         s, step = self.start, self.step
         for c in word:
             to = step[s].get(c)
@@ -258,14 +266,14 @@ class Scorer:
         return round(best, 6), len(found), quoted
 
 
-def beginnings(texts: Iterable[str | None], of: frozenset[str] | None) -> Counter:
-    """In how many texts each beginning of a word occurs, from 4 letters on, the whole word with END; only those in of."""
+def beginnings(texts: Iterable[str | None], of: frozenset[str] | None, most: int) -> Counter:
+    """In how many texts each beginning of a word occurs, from 4 letters up to most, the whole word with END; only those in of."""
     got: Counter = Counter()
     for t in texts:
         seen: set[str] = set()
         for w in set(map(plain, words_of(t or ""))):
             w += END
-            seen.update(w[:k] for k in range(4, min(len(w), 24) + 1)) if of is None else seen.update(p for k in range(4, min(len(w), 24) + 1) if (p := w[:k]) in of)
+            seen.update(w[:k] for k in range(4, min(len(w), most) + 1)) if of is None else seen.update(p for k in range(4, min(len(w), most) + 1) if (p := w[:k]) in of)
         got.update(seen)
     return got
 
@@ -278,11 +286,11 @@ def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), b.column(1).slice(lo, len(texts)).cast(pa.int32()), pa.array(least, pa.int64())], ["text", "y", "family"])
 
 
-def counted(rows: DataFrame, of: frozenset[str] | None) -> DataFrame:
+def counted(rows: DataFrame, of: frozenset[str] | None, most: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch], of=of) -> Iterator[pa.RecordBatch]:
         got: Counter = Counter()
         for b in batches:
-            got += beginnings(b.column(0).to_pylist(), of)
+            got += beginnings(b.column(0).to_pylist(), of, most)
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["p", "n"])
 
     return rows.select("text").mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
@@ -312,10 +320,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seeds: Itera
     bad, good = sample.where("y = 1"), sample.where("y = 0")
     n = bad.count()
     support = max(MIN_SUPPORT, 0.01 * n)
-    toxic = {r.p: r.n for r in counted(bad, None).where(F.col("n") >= 0.5 * support).collect()} if n >= support else {}
+    toxic, most = {}, 24
+    while n >= support:  # until no beginning of most letters is frequent, so that no longer one is
+        toxic = {r.p: r.n for r in counted(bad, None, most).where(F.col("n") >= 0.5 * support).collect()}
+        if not any(len(p) == most for p in toxic):
+            break
+        most *= 2
     if toxic:
         keep = frozenset(p for p, k in toxic.items() if k >= support)
-        clean = {r.p: r.n for r in counted(good, keep).collect()}
+        clean = {r.p: r.n for r in counted(good, keep, most).collect()}
         terms |= chosen(toxic, clean, support, 0.02)
         doubtful = chosen(toxic, clean, support, 0.15) - terms
 
@@ -342,7 +355,8 @@ def scored(spark, scorer: Scorer, text: Column) -> Column:
         a, b, c = zip(*got) if got else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(a, pa.float64()), pa.array(b, pa.int32()), pa.array(c, pa.int32())], ["score", "hits", "quoted"])
 
-    return F.arrow_udf(score, "struct<score double, hits int, quoted int>")(text)
+    # declared so, it isn't run once more for each filter on its result
+    return F.arrow_udf(score, "struct<score double, hits int, quoted int>").asNondeterministic()(text)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -101,3 +101,22 @@ def test_terms_are_learnt(spark):
     scorer = T.learn(docs, labels)
     assert ("zorbla", True) in scorer.terms
     assert {r.doc_id for r in T.toxicity(docs, labels).collect()} == set(range(1, 80, 2))
+
+
+def test_terms_are_learnt_at_any_length():
+    """No beginning is cut: a frequent one makes the counting go on to longer ones."""
+    long = "x" * 40
+    assert T.beginnings([long + "tail"], None, 24).keys() == {"x" * k for k in range(4, 25)}
+    assert (long + "tail" + T.END) in T.beginnings([long + "tail"], None, 48)
+
+
+def test_states_are_made_again_when_they_are_forgotten(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 3)
+    m = T.Matcher([("pathetic", False), ("idiot", False)])
+    got = [m.errors(w) for w in ("pathetik", "idiot", "idiiot", "house", "pathetic")]
+    assert got == [1, 0, 1, None, 0] and m.moves < 20
+
+
+def test_the_scorer_runs_once(docs, labels):
+    plan = T.toxicity(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
