@@ -501,6 +501,53 @@ def feat_dict(spark, sf_dir):
     return train.dict_features(spark.createDataFrame([(0, "これはテストです")], "id int, text string"), "id", F.col("text"), words, 4).drop("id")
 
 
+_feature_words = ["the", "tion", "on", "que", "ation", "e"]
+
+
+@query("feat_dict_benchmark", f"""
+WITH c AS (SELECT item_id, text, length(text) AS n, unnest(range(0, length(text))) AS s FROM benchmark WHERE text <> ''),
+h AS (SELECT item_id, n, s, s + length(word) AS e, least(length(word), 4) AS len FROM c JOIN (VALUES {", ".join(f"('{w}')" for w in _feature_words)}) AS d(word) ON substring(text, CAST(s + 1 AS INT), CAST(length(word) AS INT)) = word),
+f AS (SELECT 'L' AS kind, len FROM h WHERE s > 0 UNION ALL SELECT 'I', len FROM (SELECT len, unnest(range(s, e - 1)) FROM h) UNION ALL SELECT 'R', len FROM h WHERE e < n)
+SELECT kind, CAST(len AS INT) AS len, count(*) AS n FROM f GROUP BY ALL""")
+def feat_dict_benchmark(spark, sf_dir):
+    words = spark.createDataFrame([(w,) for w in _feature_words], "word string")
+    got = train.dict_features(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), words, 4)
+    return got.groupBy("kind", "len").agg(F.sum("n").alias("n"))
+
+
+@query("feat_tag", literal(["pos", "surface", "tag", "kind", "gram", "rel"], [
+    (0, "の", "助詞", "c", "の猫", 1), (0, "の", "助詞", "t", "35", 1), (1, "猫", "名詞", "c", "の猫", 0), (1, "猫", "名詞", "c", "猫は", 1), (1, "猫", "名詞", "t", "35", 0), (1, "猫", "名詞", "t", "53", 1),
+    (2, "は", None, "c", "猫は", 0), (2, "は", None, "t", "53", 0),
+]))
+def feat_tag(spark, sf_dir):
+    tokens = train.tagged_tokens(train.sentences_table(spark, [S.parse_tokenized("の/助詞 猫/名詞 は")]), train.Config(char_n=1, type_n=1))
+    return tokens.select("pos", "surface", F.get("tags", F.lit(0)).alias("tag"), F.explode("features").alias("f")).select("pos", "surface", "tag", "f.*")
+
+
+_tagged = ["猫/名詞 は/助詞 火星/名詞 だ/助動詞", "火星/名詞 の/助詞 猫/名詞", "猫/動詞 だ/助動詞", "の/助詞 猫/名詞 は/助詞"]
+
+
+@query("train_tag", literal(["line"], [(x,) for x in _tagged]))
+def train_tag(spark, sf_dir):
+    """Of a corpus in a table; its own tags are predicted again."""
+    lines = spark.createDataFrame(list(enumerate(_tagged)), "line long, text string")
+    corpus = lines.select("line", S.from_tokenized(F.col("text")).alias("s"))
+    model = train.train(spark, corpus, config=train.Config(cost=10.0))
+    return pipeline.predict(corpus.select(F.col("s.text").alias("text")), model, predict_tags=True, norm=False).select(F.col("tokenized").alias("line"))
+
+
+@query("train_documents", "SELECT CAST(count(*) AS BIGINT) AS texts, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(0 AS BIGINT) AS wrong FROM benchmark WHERE text <> ''")
+def train_documents(spark, sf_dir):
+    """Boundaries that a rule gives, learnt from the table of benchmark texts: the model gives every one of them again."""
+    df = table(spark, sf_dir, "benchmark").where("text <> ''").select(F.col("item_id").alias("line"), S.from_raw(F.col("text")).alias("s"))
+    c = chars(F.col("s.text"))
+    corpus = df.withColumn("s", F.col("s").withField("boundaries", filters.chain(c, F.array_repeat(F.lit(1), F.size(c) - 1), "R")))
+    model = train.train(spark, corpus, config=train.Config(char_window=1, char_n=1, type_window=1, type_n=2, cost=10.0, eps=0.001))
+    got = corpus.select("s", predict.boundaries(predict.scores(spark, model, F.col("s.text"))).alias("b"))
+    wrong = F.size(F.filter(F.zip_with("s.boundaries", "b", lambda x, y: x != y), lambda x: x))
+    return got.agg(F.count("*").alias("texts"), F.sum(F.length("s.text")).alias("characters"), F.sum(wrong.cast("long")).alias("wrong"))
+
+
 @query("quantize_assemble", literal(["gram", "weights"], [("あ", "0 -8191 0 32767 0 0"), ("あい", "0 0 16383 0 0")]))
 def quantize_assemble(spark, sf_dir):
     w, _ = train.quantised(np.array([-0.25, 1.0, 0.5, 0.00001, 0.0]))

@@ -217,5 +217,6 @@ def exploded_scores(docs: DataFrame, model_tables: dict[str, DataFrame], bias: i
     of = lambda k, n: F.transform(ngrams(F.col("c" if k == "c" else "t"), n), lambda g, i: F.struct(F.lit(k).alias("kind"), i.alias("s"), g.alias("g")))
     occurrences = base.select("doc_id", F.size("c").alias("n"), F.explode(F.concat(*(of(k, n) for k, n in lengths))).alias("x")).select("doc_id", "n", "x.*")
     hits = occurrences.join(patterns, ["kind", "g"]).select("doc_id", "n", "s", "o", F.posexplode("weights").alias("k", "w"))
-    added = hits.select("doc_id", (F.col("s") + F.col("o") + F.col("k")).alias("b"), "w", "n").where("b between 0 and n - 2").groupBy("doc_id", "b").agg(F.sum("w").alias("w"))
-    return every.join(added, ["doc_id", "b"], "left").select("doc_id", "b", (F.lit(bias) + F.coalesce("w", F.lit(0))).cast("long").alias("score"))
+    # every boundary has its bias as one more summand, so that one shuffle gives boundaries with and without matches
+    added = hits.select("doc_id", (F.col("s") + F.col("o") + F.col("k")).alias("b"), F.col("w").cast("long").alias("w"), "n").where("b between 0 and n - 2").select("doc_id", "b", "w")
+    return every.withColumn("w", F.lit(bias).cast("long")).unionByName(added).groupBy("doc_id", "b").agg(F.sum("w").alias("score"))

@@ -1,7 +1,9 @@
 """Training: features as tables, linear solvers, quantised weights, models for boundaries and tags.
 
-Features are exact and relational. Solvers are linear classifiers with a regularised constant feature, as numbered in SOLVERS;
-their optimum, not their path, is what is defined.
+A corpus is a table of sentences, or a list of them. Features are exact and relational. Boundaries that have the same features
+and the same mark are one weighted instance, and the instances alone come to the solver on the driver, which needs them all at
+each step; tags are solved by the executors, a surface a group of weighted instances. Solvers are linear classifiers with a
+regularised constant feature, as numbered in SOLVERS; their optimum, not their path, is what is defined.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chars import char_type, chars, code_points, ngrams, types_of
-from ..functions.sentence import Sentence
+from ..functions.sentence import SENTENCE, Sentence
+from ..sources.text import default_tag_rows
 from .model import Model, TagModel
 
 QUANTUM = 32767
@@ -87,9 +90,10 @@ def tag_features(sentences: list[Sentence], config: Config) -> Iterator[tuple[st
             yield s.text[a:b], s.tags_at(b - 1), got
 
 
-def solve(first: np.ndarray, idx: np.ndarray, x: np.ndarray, y: np.ndarray, n_features: int, solver: int, cost: float, eps: float, rounds: int = 1000) -> np.ndarray:
-    """Weights, the last of the constant feature, of y (-1, 1): least penalty + cost * sum of losses, by accelerated proximal gradients (hinge losses smoothed over 0.01)."""
+def solve(first: np.ndarray, idx: np.ndarray, x: np.ndarray, y: np.ndarray, n_features: int, solver: int, cost: float, eps: float, count: np.ndarray | None = None, rounds: int = 1000) -> np.ndarray:
+    """Weights, the last of the constant feature, of y (-1, 1): least penalty + cost * sum of losses, by accelerated proximal gradients (hinge losses smoothed over 0.01). count: how often each row occurs."""
     loss, penalty = SOLVERS[solver]
+    count = np.ones(len(y)) if count is None else count
     of = np.repeat(np.arange(len(y)), np.diff(first))
     norm = np.bincount(of, weights=x * x, minlength=len(y)) + 1
     smooth = {"logistic": 0.25, "squared hinge": 2.0}.get(loss, 100.0)
@@ -97,11 +101,11 @@ def solve(first: np.ndarray, idx: np.ndarray, x: np.ndarray, y: np.ndarray, n_fe
     v = np.random.default_rng(3).normal(size=n_features + 1)
     top = 1.0
     for _ in range(20):
-        z = np.bincount(of, weights=v[idx] * x, minlength=len(y)) + v[-1]
+        z = count * (np.bincount(of, weights=v[idx] * x, minlength=len(y)) + v[-1])
         v = np.append(np.bincount(idx, weights=z[of] * x, minlength=n_features), z.sum())
         top = np.linalg.norm(v)
         v /= top
-    step = 1 / (cost * smooth * min(1.1 * top, norm.sum()) + (penalty == "l2"))
+    step = 1 / (cost * smooth * min(1.1 * top, (count * norm).sum()) + (penalty == "l2"))
     w = u = np.zeros(n_features + 1)
     t, start = 1.0, None
     for _ in range(rounds):
@@ -112,7 +116,7 @@ def solve(first: np.ndarray, idx: np.ndarray, x: np.ndarray, y: np.ndarray, n_fe
             d = -2 * np.maximum(1 - m, 0)
         else:
             d = -np.clip((1 - m) / 0.01, 0, 1)
-        d = cost * d * y
+        d = cost * count * d * y
         g = np.append(np.bincount(idx, weights=d[of] * x, minlength=n_features), d.sum())
         new = u - step * (g + (u if penalty == "l2" else 0))
         if penalty == "l1":
@@ -154,75 +158,115 @@ def assembled_dictionary(words: list[str], buckets: dict[tuple[str, int], int],
     return out
 
 
-def _sparse(rows: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    ids = {k: i for i, k in enumerate(sorted(set(map(tuple, rows[names].itertuples(index=False, name=None)))))}
-    idx = np.array([ids[k] for k in rows[names].itertuples(index=False, name=None)], dtype=np.int64)
-    return idx, rows["n"].to_numpy(dtype=float), ids, list(ids)
+def instances(corpus: DataFrame, words: DataFrame | None, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(id, kind, gram, rel, len) of each feature, and (word, features, count) of each instance: whether a boundary is one of words, its features (id, n) in order, and how many boundaries are so. corpus: line (unique), s."""
+    text, known = F.col("s.text"), F.col("m").isin(0, 1) | F.lit(config.unknown_as_class)
+    marks = corpus.select("line", F.posexplode("s.boundaries").alias("b", "m")).where(known).select("line", "b", (F.col("m") == 1).alias("word"))
+    rows = boundary_features(corpus, "line", text, config).withColumn("len", F.lit(0))
+    if words is not None:
+        rows = rows.unionByName(dict_features(corpus, "line", text, words, config.dict_n).withColumns({"gram": F.lit(""), "rel": F.lit(0)}))
+    name = ["kind", "gram", "rel", "len"]
+    kept = rows.join(marks, ["line", "b"])
+    # as many as the model's weights, which are of a size to be broadcast
+    names = corpus.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(sorted(tuple(r) for r in kept.select(*name).distinct().collect()))], "id int, kind string, gram string, rel int, len int")
+    each = kept.join(names, name).groupBy("line", "b").agg(F.sort_array(F.collect_list(F.struct("id", F.col("n").cast("long").alias("n")))).alias("features"))
+    return names, marks.join(each, ["line", "b"], "left").groupBy("word", "features").agg(F.count("*").alias("count"))
 
 
-def train(spark, sentences: list[Sentence], words: list[str] = (), tag_dictionary: list[Sentence] = (), config: Config = Config()) -> Model:
-    """A model from annotated sentences. The corpus, like the solver, is on the driver; features are made by Spark."""
-    marks = [(i, s.text, b, m) for i, s in enumerate(sentences) for b, m in enumerate(s.boundaries)]
-    if not any(m == 1 for *_, m in marks):
+def sentences_table(spark, sentences: list[Sentence]) -> DataFrame:
+    """(line, s) of sentences in a list."""
+    rows = [(i, (s.text, list(s.boundaries), [None if t is None else list(t) for t in s.tags], s.n_tags, None)) for i, s in enumerate(sentences)]
+    return spark.createDataFrame(rows, f"line long, s {SENTENCE}")
+
+
+def train(spark, corpus: DataFrame | list[Sentence], words: DataFrame | list[str] = (), tag_dictionary: DataFrame | list[Sentence] = (), config: Config = Config()) -> Model:
+    """A model from annotated sentences: a list, or a table of line (unique, its order that of the corpus) and s, the sentence. words: word; tag_dictionary: as corpus. Unknown marks are left out, or with unknown_as_class are no word boundaries."""
+    corpus = sentences_table(spark, corpus) if isinstance(corpus, list) else corpus.select("line", "s")
+    if not isinstance(words, DataFrame):
+        words = spark.createDataFrame([(w,) for w in words], "word string")
+    words = words.select("word").where("word <> ''").distinct()
+    if isinstance(tag_dictionary, (list, tuple)):
+        tag_dictionary = sentences_table(spark, list(tag_dictionary))
+    named, rows = instances(corpus, words, config)
+    got = rows.toArrow().sort_by("count")
+    word, count = np.array(got.column("word").to_pylist(), dtype=bool), got.column("count").to_numpy().astype(float)
+    if not word.any():
         raise ValueError("the corpus has no word boundary")
-    df = spark.createDataFrame([(i, s.text) for i, s in enumerate(sentences)], "id long, text string")
-    rows = boundary_features(df, "id", F.col("text"), config).toPandas()
-    rows["len"] = 0
-    if words:
-        d = dict_features(df, "id", F.col("text"), spark.createDataFrame([(w,) for w in words], "word string"), config.dict_n).toPandas()
-        rows = pd.concat([rows, d.assign(gram="", rel=0)], ignore_index=True)
-    kept = {(i, b): m for i, _, b, m in marks if config.unknown_as_class or m != 2}
-    order = {k: n for n, k in enumerate(kept)}
-    rows["row"] = [order.get(k, -1) for k in zip(rows["id"], rows["b"])]
-    rows = rows[rows["row"] >= 0].sort_values("row", kind="stable")
-    idx, x, ids, names = _sparse(rows, ["kind", "gram", "rel", "len"])
-    first = np.searchsorted(rows["row"].to_numpy(), np.arange(len(kept) + 1))
-    y = np.array([1.0 if m == 1 else -1.0 for m in kept.values()])
-    w, _ = quantised(solve(first, idx, x, y, len(names), config.solver, config.cost, config.eps))
+    features = [f or [] for f in got.column("features").to_pylist()]
+    first = np.append(0, np.cumsum([len(f) for f in features]))
+    idx, x = (np.array([e[k] for f in features for e in f], dtype=t) for k, t in (("id", np.int64), ("n", float)))
+    names = [tuple(r)[1:] for r in named.orderBy("id").collect()]
+    w, _ = quantised(solve(first, idx, x, np.where(word, 1.0, -1.0), len(names), config.solver, config.cost, config.eps, count))
     by = {k: {(g, r): int(w[n]) for n, (kind, g, r, _) in enumerate(names) if kind == k} for k in "ct"}
     buckets = {(kind, k): int(w[n]) for n, (kind, _, _, k) in enumerate(names) if kind in "LIR"}
     return Model(
         int(w[-1]), config.char_window, config.type_window, assembled(by["c"], config.char_window), assembled(by["t"], config.type_window),
-        assembled_dictionary(list(words), buckets, config.dict_n), train_tags(sentences, tag_dictionary, config),
+        assembled_dictionary([r.word for r in words.collect()], buckets, config.dict_n), train_tags(corpus, tag_dictionary, config),
     )
 
 
-def default_tags(tag_dictionary: list[Sentence], seen: set[str]) -> dict[str, list[str | None]]:
-    """The tags of the first occurrence of each surface that isn't seen and has any."""
-    out: dict[str, list[str | None]] = {}
-    for s in tag_dictionary:
-        for a, b in s.tokens():
-            out.setdefault(s.text[a:b], s.tags_at(b - 1))
-    return {k: t for k, t in out.items() if k not in seen and any(t)}
+TOKENS = "line long, pos int, surface string, tags array<string>, features array<struct<kind string, gram string, rel int>>"
 
 
-def train_tags(sentences: list[Sentence], tag_dictionary: list[Sentence], config: Config) -> list[TagModel]:
-    groups: dict[str, list[tuple[list[str | None], list]]] = {}
-    for surface, tags, features in tag_features(sentences, config):
-        groups.setdefault(surface, []).append((tags, features))
-    out = []
-    for surface, rows in sorted(groups.items()):
-        width = max(len(t) for t, _ in rows)
-        slots = [list(dict.fromkeys(t[j] for t, _ in rows if j < len(t) and t[j] is not None)) for j in range(width)]
-        if not any(slots):
+def tagged_tokens(corpus: DataFrame, config: Config) -> DataFrame:
+    """(line, pos, surface, tags, features) of each token between word boundaries; features: as tag_features has them, in order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for line, text, marks, tags in f.itertuples(index=False):
+                sentence = Sentence(text, list(marks), [None if t is None else list(t) for t in tags])
+                sentence.n_tags = max([0, *(len(t) for t in sentence.tags if t)])
+                out += [(line, i, surface, t, sorted(set(got))) for i, (surface, t, got) in enumerate(tag_features([sentence], config))]
+            yield pd.DataFrame(out, columns=["line", "pos", "surface", "tags", "features"])
+
+    return corpus.select("line", "s.text", "s.boundaries", "s.tags").where("text is not null").mapInPandas(run, TOKENS)
+
+
+TAGGED = "token string, tags array<array<string>>, bias array<int>, grams array<struct<kind string, gram string, rel int, weights array<int>>>"
+
+
+def tag_models(tokens: DataFrame, config: Config) -> DataFrame:
+    """(token, tags, bias, grams) of each surface of tokens that has tags. Tokens with the same tags and features are counted before they are brought together by surface."""
+    each = tokens.groupBy("surface", "tags", "features").agg(F.count("*").alias("n"), F.min(F.struct("line", "pos")).alias("at")).select("surface", "tags", "features", "n", "at.line", "at.pos")
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["line", "pos"])
+        rows = [(list(tags), [tuple(g.values()) if isinstance(g, dict) else tuple(g) for g in got], n) for tags, got, n in zip(f["tags"], f["features"], f["n"])]
+        got = tag_model(f["surface"].iloc[0], rows, config)
+        return pd.DataFrame([got] if got else [], columns=["token", "tags", "bias", "grams"])
+
+    return each.groupBy("surface").applyInPandas(fit, TAGGED)
+
+
+def tag_model(surface: str, rows: list[tuple[list[str | None], list[tuple[str, str, int]], int]], config: Config) -> tuple | None:
+    """The row of TAGGED of a surface from its (tags, features, count) in the order of the corpus, None if none has a tag."""
+    width = max(len(t) for t, _, _ in rows)
+    slots = [list(dict.fromkeys(t[j] for t, _, _ in rows if j < len(t) and t[j] is not None)) for j in range(width)]
+    if not any(slots):
+        return None
+    grams: dict[tuple[str, str, int], list[int]] = {}
+    bias: list[int] = []
+    for j, names in enumerate(slots):
+        if len(names) < 2:
             continue
-        grams: dict[tuple[str, str, int], list[int]] = {}
-        bias: list[int] = []
-        for j, names in enumerate(slots):
-            if len(names) < 2:
-                continue
-            own = [(t[j], f) for t, f in rows if j < len(t) and t[j] is not None]
-            ids = {k: i for i, k in enumerate(sorted({g for _, f in own for g in f}))}
-            idx = np.array([ids[g] for _, f in own for g in f], dtype=np.int64)
-            first = np.append(0, np.cumsum([len(f) for _, f in own]))
-            ws = np.array([solve(first, idx, np.ones(len(idx)), np.array([1.0 if t == name else -1.0 for t, _ in own]), len(ids), config.solver, config.cost, config.eps) for name in names])
-            q, _ = quantised(ws, 1e-6)
-            for g, i in ids.items():
-                grams.setdefault(g, [0] * len(bias)).extend([0] * (len(bias) - len(grams.get(g, []))))
-                grams[g].extend(int(v) for v in q[:, i])
-            bias.extend(int(v) for v in q[:, -1])
-        grams = {g: w + [0] * (len(bias) - len(w)) for g, w in grams.items() if any(w)}
-        pick = lambda k: sorted((g, r, w) for (kind, g, r), w in grams.items() if kind == k)  # noqa: E731,B023
-        out.append(TagModel(surface, slots, bias, pick("c"), pick("t")))
-    out += [TagModel(s, [[t] if t else [] for t in tags], []) for s, tags in sorted(default_tags(tag_dictionary, set(groups)).items())]
-    return out
+        own = [(t[j], f, n) for t, f, n in rows if j < len(t) and t[j] is not None]
+        ids = {k: i for i, k in enumerate(sorted({g for _, f, _ in own for g in f}))}
+        idx = np.array([ids[g] for _, f, _ in own for g in f], dtype=np.int64)
+        first, count = np.append(0, np.cumsum([len(f) for _, f, _ in own])), np.array([n for _, _, n in own], dtype=float)
+        ws = np.array([solve(first, idx, np.ones(len(idx)), np.array([1.0 if t == name else -1.0 for t, _, _ in own]), len(ids), config.solver, config.cost, config.eps, count) for name in names])
+        q, _ = quantised(ws, 1e-6)
+        for g, i in ids.items():
+            grams.setdefault(g, [0] * len(bias)).extend([0] * (len(bias) - len(grams.get(g, []))))
+            grams[g].extend(int(v) for v in q[:, i])
+        bias.extend(int(v) for v in q[:, -1])
+    return surface, slots, bias, [(*g, w + [0] * (len(bias) - len(w))) for g, w in sorted(grams.items()) if any(w)]
+
+
+def train_tags(corpus: DataFrame, tag_dictionary: DataFrame, config: Config) -> list[TagModel]:
+    """The tag models of the surfaces of a corpus, then those of surfaces that only the tag dictionary has, with the tags of their first occurrence."""
+    tokens = tagged_tokens(corpus, config)
+    pick = lambda grams, k: [(g.gram, g.rel, list(g.weights)) for g in grams if g.kind == k]
+    out = [TagModel(r.token, [list(t) for t in r.tags], list(r.bias), pick(r.grams, "c"), pick(r.grams, "t")) for r in tag_models(tokens, config).orderBy("token").collect()]
+    more = default_tag_rows(tagged_tokens(tag_dictionary, config).select("line", "pos", "surface", "tags"), tokens.select("surface"))
+    return out + [TagModel(r.surface, [[t] if t else [] for t in r.tags], []) for r in more.orderBy("surface").collect()]
