@@ -399,8 +399,8 @@ def pattern_tagger(spark, sf_dir):
 
 @query("pattern_tagger_documents", f"WITH l AS (SELECT unnest(regexp_extract_all(text, '{DIGITS}|{LETTERS}|(?s:.)')) AS surface FROM documents WHERE text <> '') SELECT CASE surface WHEN 'the' THEN 'article' WHEN 'of' THEN 'preposition' WHEN 'que' THEN 'pronoun' END AS tag, count(*) AS n FROM l GROUP BY 1")
 def pattern_tagger_documents(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").where("text <> ''").withColumn("c", chars(F.col("text")))
-    tokens = segment.token_table(df, ["doc_id"], F.col("text"), filters.chain(F.col("c"), F.array_repeat(F.lit(1), F.size("c") - 1), "DR")).withColumn("tags", F.array(F.lit(None).cast("string")))
+    df = table(spark, sf_dir, "documents").where("text <> ''")
+    tokens = segment.token_rows(df, ["doc_id"], segment.rule_token_array(F.col("text"), "DR")).withColumn("tags", F.array(F.lit(None).cast("string")))
     rules = spark.createDataFrame([("the", ["article"]), ("of", ["preposition"]), ("que", ["pronoun"])], "surface string, tags array<string>")
     return filters.pattern_tags(tokens, rules).groupBy(F.get("tags", F.lit(0)).alias("tag")).agg(F.count("*").alias("n"))
 
@@ -618,9 +618,8 @@ def eval_flags(spark, sf_dir):
 
 def flagship(spark, sf_dir: str) -> DataFrame:
     """Documents to full width, rule segmentation, token table with offsets, counts by language."""
-    df = table(spark, sf_dir, "documents").where("text <> ''").withColumn("c", chars(fullwidth(F.col("text"))))
-    df = df.withColumn("b", filters.chain(F.col("c"), F.array_repeat(F.lit(1), F.size("c") - 1), "DR", True))
-    tokens = segment.token_table(df, ["lang", "doc_id"], F.col("text"), F.col("b"), offsets=True)
+    df = table(spark, sf_dir, "documents").where("text <> ''")
+    tokens = segment.token_rows(df, ["lang", "doc_id"], segment.rule_token_array(F.col("text"), "DR", wide=True), offsets=True)
     return tokens.groupBy("lang").agg(F.count("*").alias("tokens"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"), F.max("position_length").alias("longest"))
 
 

@@ -27,6 +27,9 @@ _table = np.full(0x110000, OTHER, dtype=np.uint8)
 for _type, _ranges in RANGES.items():
     for _a, _b in _ranges:
         _table[_a : _b + 1] = _type
+_wide_table = _table.copy()
+for _from, _to in FULLWIDTH.items():
+    _wide_table[ord(_from)] = _table[ord(_to)]
 
 
 def chars(text: Column) -> Column:
@@ -78,6 +81,11 @@ def types_of(points: np.ndarray) -> np.ndarray:
     return _table[points]
 
 
+def types_of_wide(points: np.ndarray) -> np.ndarray:
+    """types_of() of the full-width characters."""
+    return _wide_table[points]
+
+
 def widened(text: str, _map=str.maketrans(FULLWIDTH)) -> str:
     return text.translate(_map)
 

@@ -6,12 +6,15 @@ batches: linear in the text, without a shuffle, and the same for streams.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sentence import UNKNOWN, WORD
+from ..functions.chars import CODES, OTHER, code_points, types_of, types_of_wide
+from ..functions.sentence import NONE, UNKNOWN, WORD
 
 _TOKEN = pa.struct([("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("byte_start", pa.int32()), ("byte_end", pa.int32())])
 
@@ -27,29 +30,55 @@ def known_spans(n: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def _cut(texts: list[str | None], marks_of: Callable[[int, str], np.ndarray | None]) -> pa.Array:
+    """The tokens of each text; null where it or its marks are null. Surfaces are the bytes of the texts, side by side."""
+    bytes_, numbers, counts, valid = [], [], [], []
+    for i, t in enumerate(texts):
+        marks = None if t is None else marks_of(i, t)
+        valid.append(marks is not None)
+        counts.append(0)
+        if marks is None or not t:
+            continue
+        whole = t.encode()
+        raw = np.frombuffer(whole, dtype=np.uint8)
+        at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        starts, ends = known_spans(len(t), marks)
+        lo, hi = at[starts], at[ends]
+        bytes_.append(whole if int((hi - lo).sum()) == len(whole) else b"".join(whole[x:y] for x, y in zip(lo.tolist(), hi.tolist())))
+        numbers.append((starts, ends, lo, hi))
+        counts[-1] = len(starts)
+    parts = [np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in numbers)]).astype(np.int32) for k in range(4)]
+    edge = np.append(0, np.cumsum(parts[3] - parts[2], dtype=np.int64)).astype(np.int32)
+    surface = pa.Array.from_buffers(pa.string(), len(parts[0]), [None, pa.py_buffer(edge), pa.py_buffer(b"".join(bytes_))])
+    offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32), mask=np.append(~np.array(valid, dtype=bool), False))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([surface, *map(pa.array, parts)], fields=list(_TOKEN)))
+
+
+TOKENS = "array<struct<surface string, start int, end int, byte_start int, byte_end int>>"
+
+
 def token_array(text: Column, boundaries: Column) -> Column:
     """(surface, start, end, byte_start, byte_end) of each token between word boundaries, those that hold an unknown mark left out; null where either is null, none of an empty text."""
 
     def run(texts: pa.Array, marks: pa.Array) -> pa.Array:
-        valid = (texts.is_valid().to_numpy(False) & marks.is_valid().to_numpy(False)).tolist()
-        surface: list[str] = []
-        numbers: list[tuple[np.ndarray, ...]] = []
-        counts = []
-        for t, ok, i in zip(texts.to_pylist(), valid, range(len(texts))):
-            if not ok or not t:
-                counts.append(0)
-                continue
-            raw = np.frombuffer(t.encode(), dtype=np.uint8)
-            at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-            starts, ends = known_spans(len(t), marks[i].values.to_numpy(zero_copy_only=False))
-            surface += [t[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-            numbers.append((starts, ends, at[starts], at[ends]))
-            counts.append(len(starts))
-        parts = [pa.array(np.concatenate([np.zeros(0), *(x[k] for x in numbers)]).astype(np.int32)) for k in range(4)]
-        offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32), mask=np.append(~np.array(valid, dtype=bool), False))
-        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(surface, pa.string()), *parts], fields=list(_TOKEN)))
-
-    return F.arrow_udf(run, "array<struct<surface string, start int, end int, byte_start int, byte_end int>>")(text, boundaries)
+        return _cut(texts.to_pylist(), lambda i, _: marks[i].values.to_numpy(zero_copy_only=False) if marks[i].is_valid else None)
+
+    return F.arrow_udf(run, TOKENS)(text, boundaries)
+
+
+def rule_token_array(text: Column, codes: str, wide: bool = False) -> Column:
+    """token_array() of all boundaries but those between two characters of one type that the codes name (D R H T K O), without arrays of characters and marks on the way. wide: types are those of the full-width text."""
+    if bad := set(codes) - set(CODES):
+        raise ValueError(f"invalid wsconst codes: {''.join(sorted(bad))}")
+    joined = np.zeros(OTHER + 1, dtype=bool)
+    joined[[CODES[c] for c in codes]] = True
+    types = types_of_wide if wide else types_of
+
+    def marks(_: int, t: str) -> np.ndarray:
+        k = types(code_points(t))
+        return np.where((k[1:] == k[:-1]) & joined[k[1:]], NONE, WORD)
+
+    return F.arrow_udf(lambda texts: _cut(texts.to_pylist(), marks), TOKENS)(text)
 
 
 def spans(n: Column, boundaries: Column) -> Column:
@@ -63,7 +92,12 @@ def spans(n: Column, boundaries: Column) -> Column:
 
 def token_table(df: DataFrame, keys: list[str], text: Column, boundaries: Column, offsets: bool = False) -> DataFrame:
     """A row for each token: keys, pos, surface, start, end; with offsets also byte_start, byte_end and position_length, the number of the text's tokens. A text without characters has no rows."""
+    return token_rows(df, keys, token_array(text, boundaries), offsets)
+
+
+def token_rows(df: DataFrame, keys: list[str], tokens: Column, offsets: bool = False) -> DataFrame:
+    """token_table() of arrays of tokens."""
     # an inner explode would have the optimiser filter on the size of the array first, which runs the cutting twice
-    got = df.select(*keys, token_array(text, boundaries).alias("_t")).select(*keys, F.size("_t").alias("position_length"), F.posexplode_outer("_t").alias("pos", "t")).where("pos is not null")
+    got = df.select(*keys, tokens.alias("_t")).select(*keys, F.size("_t").alias("position_length"), F.posexplode_outer("_t").alias("pos", "t")).where("pos is not null")
     more = ["t.byte_start", "t.byte_end", "position_length"] if offsets else []
     return got.select(*keys, "pos", "t.surface", "t.start", "t.end", *more)

@@ -213,3 +213,26 @@ def test_no_local_folder_on_a_cluster(spark):
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master="yarn", getConf=lambda: nothing)))
     assert shared_dir(spark).startswith("file:")
+
+
+def test_model_headers_and_files(spark, tmp_path):
+    (tmp_path / "m.bin").write_bytes(binary.encode(SPEC))
+    assert binary.read_model(spark, f"file://{tmp_path}/m.bin") == SPEC
+    with pytest.raises(binary.InvalidModel, match="version mismatch"):
+        binary.decode(binary.encode(SPEC, header=b"another 1\n"))
+
+
+def test_rules_in_one_pass_are_the_chain(spark):
+    from kugiri.functions.chars import chars
+    from kugiri.operators import filters, segment
+
+    texts = ["12 ab １２ＡＢ カナかな漢字－-ー\r\n👏🏽é", "a", "", None, "ーｰ－―ア", "0" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for codes in ("", "D", "DR", "DRHTKO"):
+        for wide in (False, True):
+            c = chars(fullwidth(F.col("t")) if wide else F.col("t"))
+            b = filters.chain(c, F.array_repeat(F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), codes, True)
+            rows = df.select(segment.rule_token_array(F.col("t"), codes, wide).alias("x"), segment.token_array(F.col("t"), b).alias("y")).collect()
+            assert all(r.x == r.y for r in rows if r.y is not None) and rows[3].x is None and rows[2].x == []
+    with pytest.raises(ValueError):
+        segment.rule_token_array(F.col("t"), "G")
