@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import table  # noqa: F401
+from ..sources.tables import shared_dir, table  # noqa: F401
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -122,17 +119,6 @@ def grams(t: Tokens, n: int = 3) -> list[np.ndarray]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share, spark.checkpoint.dir. Where the session names none, a local one is made, for a session that runs in this process alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master := spark.sparkContext.master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        base = "file://" + tempfile.mkdtemp(prefix="kugiri-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kugiri-{uuid.uuid4().hex}"
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
