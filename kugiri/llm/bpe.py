@@ -105,9 +105,9 @@ def codec_of(spark, vocabulary: str, leaf: int):
     return get
 
 
-def lists(values: list[list[int] | None]) -> pa.Array:
-    flat = np.concatenate([np.zeros(0, dtype=np.int32), *(np.array(v, dtype=np.int32) for v in values if v)])
-    offsets = np.append(0, np.cumsum([len(v or ()) for v in values]))
+def lists(values: list[np.ndarray | None]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *(v for v in values if v is not None)])
+    offsets = np.append(0, np.cumsum([0 if v is None else len(v) for v in values]))
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append([v is None for v in values], False)), pa.array(flat))
 
 
@@ -117,7 +117,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> D
 
     def run(texts: pa.Array) -> pa.Array:
         codec = get()
-        return lists([None if t is None else codec.encode(t) for t in texts.to_pylist()])
+        return lists([None if t is None else np.array(codec.encode(t), dtype=np.int32) for t in map(pa.Scalar.as_py, texts)])
 
     got = docs.select("doc_id", F.arrow_udf(run, "array<int>")(F.col("text").cast("string")).alias("tokens"))
     return got.withColumn("n_tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")))
@@ -140,9 +140,12 @@ def op8_bpe(spark, sf_dir: str) -> DataFrame:
 
     def run(texts: pa.Array) -> pa.Array:
         codec = get()
-        raw = texts.to_pylist()
-        got = [None if t is None else codec.encode(t) for t in raw]
-        same = [None if t is None else codec.decode(g) == t for t, g in zip(raw, got)]
+        got: list[np.ndarray | None] = []
+        same: list[bool | None] = []
+        for t in map(pa.Scalar.as_py, texts):  # one text's lists at a time: of a batch only packed numbers are held
+            tokens = None if t is None else codec.encode(t)
+            same.append(None if t is None else codec.decode(tokens) == t)
+            got.append(None if t is None else np.array(tokens, dtype=np.int32))
         return pa.StructArray.from_arrays([lists(got), pa.array([None if g is None else len(g) for g in got], pa.int32()), pa.array(same, pa.bool_())], ["tokens", "n_tokens", "round_trip"])
 
     docs = core.table(spark, sf_dir, "documents")

@@ -36,8 +36,8 @@ from . import core
 THRESHOLD = 0.5
 N = 3
 GRAM_BITS = 48
-#: Grams of one batch of documents, and bytes of grams of one part of a tile: the memory that a task needs.
-BATCH, PART = 1 << 21, 2 << 20
+#: Grams of one batch of documents, at least PER_LIST for each list, and bytes of grams of one part of a tile: the memory that a task needs.
+BATCH, PER_LIST, PART = 1 << 19, 16, 2 << 20
 LEAF = 16
 GROUPS = 16384
 U = np.uint64
@@ -95,7 +95,7 @@ def holder(batch: int, own: np.ndarray) -> np.ndarray:
 
 def listed(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """(key, batch, kind, payload) of batches of documents: a header, lists of grams by range of hashes, and the further holders of grams that the batch has more than once."""
-    part, seq = TaskContext.get().partitionId(), 0
+    part, seq, most = TaskContext.get().partitionId(), 0, max(BATCH, PER_LIST * ranges)
     ids: list[np.ndarray] = []
     sets: list[np.ndarray] = []
     total = 0
@@ -107,7 +107,7 @@ def listed(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.Record
                 g = g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g
                 sets.append(g)
                 total += len(g)
-            if total >= BATCH:
+            if total >= most:
                 yield flushed(part << 32 | seq, np.concatenate(ids), sets, ranges)
                 seq, ids, sets, total = seq + 1, [], [], 0
     if sets:
@@ -437,10 +437,10 @@ def units(batches: Iterator[pa.RecordBatch], threshold: float, pairs: bool) -> I
 
 
 def ranges_of(docs: DataFrame) -> int:
-    """Partitions of the lists: those of the session; up to sixteen times as many where the input's files, by their size, would make larger ones than a task's memory holds."""
+    """Partitions of the lists: four for each of the session's, so that one takes little memory; up to sixteen where the input's files, by their size, would make large ones."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return own if size >> 50 else max(own, min(size >> 24, 16 * own))  # a plan without statistics claims exabytes
+    return 4 * own if size >> 50 else max(4 * own, min(size >> 22, 16 * own))  # a plan without statistics claims exabytes
 
 
 def found(docs: DataFrame, threshold: float, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
