@@ -1,23 +1,27 @@
 """Training: features as tables, linear solvers, quantised weights, models for boundaries and tags.
 
 A corpus is a table of sentences, or a list of them. Features are exact and relational. Boundaries that have the same features
-and the same mark are one weighted instance, and the instances alone come to the solver on the driver, which needs them all at
-each step; tags are solved by the executors, a surface a group of weighted instances. Solvers are linear classifiers with a
-regularised constant feature, as numbered in SOLVERS; their optimum, not their path, is what is defined.
+and the same mark are one weighted instance. The solver asks for sums over all instances at each step: a few instances are summed
+where the solver is, many (driver_entries) by the executors, where they stay. Tags are solved by the executors, a surface a group
+of weighted instances. Solvers are linear classifiers with a regularised constant feature, as numbered in SOLVERS; their optimum,
+not their path, is what is defined. The multiclass hinge has all classes in one problem, the others each against the rest; where
+unknown marks are a class, it is a third one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chars import char_type, chars, code_points, ngrams, types_of
 from ..functions.sentence import SENTENCE, Sentence
+from ..sources.tables import written
 from ..sources.text import default_tag_rows
 from .model import Model, TagModel
 
@@ -37,6 +41,8 @@ class Config:
     cost: float = 1.0
     solver: int = 5
     unknown_as_class: bool = False
+    #: Features of all instances from which on the sums of the boundary solver are the executors'.
+    driver_entries: int = 5_000_000
 
     def __post_init__(self):
         if self.dict_n < 1:
@@ -90,34 +96,103 @@ def tag_features(sentences: list[Sentence], config: Config) -> Iterator[tuple[st
             yield s.text[a:b], s.tags_at(b - 1), got
 
 
-def solve(first: np.ndarray, idx: np.ndarray, x: np.ndarray, y: np.ndarray, n_features: int, solver: int, cost: float, eps: float, count: np.ndarray | None = None, rounds: int = 1000) -> np.ndarray:
-    """Weights, the last of the constant feature, of y (-1, 1): least penalty + cost * sum of losses, by accelerated proximal gradients (hinge losses smoothed over 0.01). count: how often each row occurs."""
+#: What sums(u, f) gives: the instances' features, times f(margins under each column of u, classes, counts).
+Sums = Callable[[np.ndarray, Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
+def products(first: np.ndarray, idx: np.ndarray, x: np.ndarray, cls: np.ndarray, count: np.ndarray) -> Sums:
+    """Of instances in arrays; the last row of u is that of the constant feature."""
+    n, of = len(cls), np.repeat(np.arange(len(cls)), np.diff(first))
+
+    def sums(u: np.ndarray, f) -> np.ndarray:
+        z = np.column_stack([np.bincount(of, weights=c[idx] * x, minlength=n) + c[-1] for c in u.T])
+        d = f(z, cls, count)
+        return np.column_stack([np.append(np.bincount(idx, weights=c[of] * x, minlength=len(u) - 1), c.sum()) for c in d.T])
+
+    return sums
+
+
+#: The executors' parts of a sum are multiples of this, so that their sum is the same in any order.
+GRAIN = 2.0**-24
+
+
+def spread_products(rows: DataFrame) -> Sums:
+    """Of a table (cls, features, count): each task has its own instances, and only sums by feature, as many as weights, come to the driver."""
+    spark = rows.sparkSession
+
+    def sums(u: np.ndarray, f) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(u)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros_like(shared.value)
+            for b in batches:
+                total += products(*arrays(b))(shared.value, lambda z, c, n: np.round(f(z, c, n) / GRAIN) * GRAIN)
+            some = np.flatnonzero(total.any(axis=1))
+            for lo in range(0, len(some), 100_000):
+                ids = some[lo : lo + 100_000]
+                for k in range(total.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), k)), pa.array(total[ids, k])], ["id", "k", "g"])
+
+        out = np.zeros_like(u)
+        got = rows.mapInArrow(part, "id long, k long, g double").groupBy("id", "k").agg(F.sum("g").alias("g")).toArrow()
+        out[got.column("id").to_numpy(), got.column("k").to_numpy()] = got.column("g").to_numpy()
+        shared.unpersist()
+        return out
+
+    return sums
+
+
+def arrays(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """(first feature of each instance and the number of all, ids, values, classes, counts) of rows (cls, features, count)."""
+    f = rows.column("features")
+    f = f.combine_chunks() if isinstance(f, pa.ChunkedArray) else f
+    size = np.nan_to_num(f.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = f.flatten()
+    return np.append(0, np.cumsum(size)), flat.field("id").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(float), rows.column("cls").to_numpy().astype(np.int64), rows.column("count").to_numpy().astype(float)
+
+
+def slopes(loss: str) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The derivative of the losses by the margins. Of the multiclass hinge there is a margin for each class; of the others one, class 1 being on its positive side."""
+
+    def one(m: np.ndarray) -> np.ndarray:
+        if loss == "logistic":
+            return -1 / (1 + np.exp(np.clip(m, -50, 50)))
+        return -2 * np.maximum(1 - m, 0) if loss == "squared hinge" else -np.clip((1 - m) / SMOOTH, 0, 1)
+
+    def joint(z: np.ndarray, cls: np.ndarray, count: np.ndarray) -> np.ndarray:
+        own = np.zeros_like(z)
+        own[np.arange(len(z)), cls] = 1
+        m = (z + 1 - own) / SMOOTH
+        p = np.exp(m - m.max(axis=1, keepdims=True))
+        return count[:, None] * (p / p.sum(axis=1, keepdims=True) - own)
+
+    def apart(z: np.ndarray, cls: np.ndarray, count: np.ndarray) -> np.ndarray:
+        y = np.where(cls == 1, 1.0, -1.0)[:, None]
+        return count[:, None] * one(y * z) * y
+
+    return joint if loss == "multiclass hinge" else apart
+
+
+SMOOTH = 0.01
+
+
+def descend(sums: Sums, n_features: int, classes: int, bound: float, solver: int, cost: float, eps: float, rounds: int = 1000) -> np.ndarray:
+    """Weights, a column for each class that has its own, the last row of the constant feature: least penalty + cost * sum of losses, by accelerated proximal gradients (hinge losses smoothed over SMOOTH). bound: the sum of the instances' squared norms, which no eigenvalue exceeds."""
     loss, penalty = SOLVERS[solver]
-    count = np.ones(len(y)) if count is None else count
-    of = np.repeat(np.arange(len(y)), np.diff(first))
-    norm = np.bincount(of, weights=x * x, minlength=len(y)) + 1
-    smooth = {"logistic": 0.25, "squared hinge": 2.0}.get(loss, 100.0)
-    # the row norms bound the largest eigenvalue from above, power iterations from below
-    v = np.random.default_rng(3).normal(size=n_features + 1)
+    smooth = {"logistic": 0.25, "squared hinge": 2.0, "hinge": 1 / SMOOTH, "multiclass hinge": 0.5 / SMOOTH}[loss]
+    slope = slopes(loss)
+    # power iterations come from below
+    v = np.random.default_rng(3).normal(size=(n_features + 1, 1))
     top = 1.0
     for _ in range(20):
-        z = count * (np.bincount(of, weights=v[idx] * x, minlength=len(y)) + v[-1])
-        v = np.append(np.bincount(idx, weights=z[of] * x, minlength=n_features), z.sum())
+        v = sums(v, lambda z, cls, count: count[:, None] * z)
         top = np.linalg.norm(v)
         v /= top
-    step = 1 / (cost * smooth * min(1.1 * top, (count * norm).sum()) + (penalty == "l2"))
-    w = u = np.zeros(n_features + 1)
+    step = 1 / (cost * smooth * min(1.1 * top, bound) + (penalty == "l2"))
+    w = u = np.zeros((n_features + 1, classes if loss == "multiclass hinge" else 1))
     t, start = 1.0, None
     for _ in range(rounds):
-        m = y * (np.bincount(of, weights=u[idx] * x, minlength=len(y)) + u[-1])
-        if loss == "logistic":
-            d = -1 / (1 + np.exp(np.clip(m, -50, 50)))
-        elif loss == "squared hinge":
-            d = -2 * np.maximum(1 - m, 0)
-        else:
-            d = -np.clip((1 - m) / 0.01, 0, 1)
-        d = cost * count * d * y
-        g = np.append(np.bincount(idx, weights=d[of] * x, minlength=n_features), d.sum())
+        g = cost * sums(u, slope)
         new = u - step * (g + (u if penalty == "l2" else 0))
         if penalty == "l1":
             new = np.sign(new) * np.maximum(np.abs(new) - step, 0)
@@ -131,6 +206,15 @@ def solve(first: np.ndarray, idx: np.ndarray, x: np.ndarray, y: np.ndarray, n_fe
     return w
 
 
+def solve(first: np.ndarray, idx: np.ndarray, x: np.ndarray, cls: np.ndarray, classes: int, n_features: int, solver: int, cost: float, eps: float, count: np.ndarray | None = None) -> np.ndarray:
+    """The weights of each class, a row each with the constant feature last: jointly by the multiclass hinge, else each class against the rest."""
+    count = np.ones(len(cls)) if count is None else count
+    bound = float((count * (np.bincount(np.repeat(np.arange(len(cls)), np.diff(first)), weights=x * x, minlength=len(cls)) + 1)).sum())
+    if SOLVERS[solver][0] == "multiclass hinge":
+        return descend(products(first, idx, x, cls, count), n_features, classes, bound, solver, cost, eps).T
+    return np.array([descend(products(first, idx, x, (cls == k).astype(np.int64), count), n_features, 2, bound, solver, cost, eps)[:, 0] for k in range(classes)])
+
+
 def quantised(w: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, float]:
     """Whole numbers up to QUANTUM in size, cut towards zero, and the unit."""
     unit = max(np.abs(w).max(initial=0) / QUANTUM, floor)
@@ -159,9 +243,9 @@ def assembled_dictionary(words: list[str], buckets: dict[tuple[str, int], int],
 
 
 def instances(corpus: DataFrame, words: DataFrame | None, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(id, kind, gram, rel, len) of each feature, and (word, features, count) of each instance: whether a boundary is one of words, its features (id, n) in order, and how many boundaries are so. corpus: line (unique), s."""
+    """(id, kind, gram, rel, len) of each feature, and (cls, features, count) of each instance: the mark of a boundary (1: one of words), its features (id, n) in order, and how many boundaries are so. corpus: line (unique), s."""
     text, known = F.col("s.text"), F.col("m").isin(0, 1) | F.lit(config.unknown_as_class)
-    marks = corpus.select("line", F.posexplode("s.boundaries").alias("b", "m")).where(known).select("line", "b", (F.col("m") == 1).alias("word"))
+    marks = corpus.select("line", F.posexplode("s.boundaries").alias("b", "m")).where(known).select("line", "b", F.col("m").cast("int").alias("cls"))
     rows = boundary_features(corpus, "line", text, config).withColumn("len", F.lit(0))
     if words is not None:
         rows = rows.unionByName(dict_features(corpus, "line", text, words, config.dict_n).withColumns({"gram": F.lit(""), "rel": F.lit(0)}))
@@ -170,7 +254,7 @@ def instances(corpus: DataFrame, words: DataFrame | None, config: Config) -> tup
     # as many as the model's weights, which are of a size to be broadcast
     names = corpus.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(sorted(tuple(r) for r in kept.select(*name).distinct().collect()))], "id int, kind string, gram string, rel int, len int")
     each = kept.join(names, name).groupBy("line", "b").agg(F.sort_array(F.collect_list(F.struct("id", F.col("n").cast("long").alias("n")))).alias("features"))
-    return names, marks.join(each, ["line", "b"], "left").groupBy("word", "features").agg(F.count("*").alias("count"))
+    return names, marks.join(each, ["line", "b"], "left").groupBy("cls", "features").agg(F.count("*").alias("count"))
 
 
 def sentences_table(spark, sentences: list[Sentence]) -> DataFrame:
@@ -188,15 +272,17 @@ def train(spark, corpus: DataFrame | list[Sentence], words: DataFrame | list[str
     if isinstance(tag_dictionary, (list, tuple)):
         tag_dictionary = sentences_table(spark, list(tag_dictionary))
     named, rows = instances(corpus, words, config)
-    got = rows.toArrow().sort_by("count")
-    word, count = np.array(got.column("word").to_pylist(), dtype=bool), got.column("count").to_numpy().astype(float)
-    if not word.any():
+    rows = written(rows)
+    size = rows.agg(F.collect_set("cls").alias("marks"), F.sum(F.size("features")).alias("entries"), F.sum(F.col("count") * (1 + F.aggregate(F.coalesce("features", F.expr("array()").cast("array<struct<id int, n bigint>>")), F.lit(0.0), lambda a, f: a + f["n"] * f["n"]))).alias("bound")).first()
+    if 1 not in size.marks:
         raise ValueError("the corpus has no word boundary")
-    features = [f or [] for f in got.column("features").to_pylist()]
-    first = np.append(0, np.cumsum([len(f) for f in features]))
-    idx, x = (np.array([e[k] for f in features for e in f], dtype=t) for k, t in (("id", np.int64), ("n", float)))
     names = [tuple(r)[1:] for r in named.orderBy("id").collect()]
-    w, _ = quantised(solve(first, idx, x, np.where(word, 1.0, -1.0), len(names), config.solver, config.cost, config.eps, count))
+    joint, marks = SOLVERS[config.solver][0] == "multiclass hinge", sorted(size.marks)
+    if joint:  # classes are those that there are
+        rows = rows.withColumn("cls", F.array_position(F.lit(marks), F.col("cls")) - 1)
+    sums = spread_products(rows) if (size.entries or 0) > config.driver_entries else products(*arrays(rows.toArrow().sort_by("count")))
+    w = descend(sums, len(names), len(marks), float(size.bound), config.solver, config.cost, config.eps)
+    w, _ = quantised(w[:, marks.index(1) if joint else 0])
     by = {k: {(g, r): int(w[n]) for n, (kind, g, r, _) in enumerate(names) if kind == k} for k in "ct"}
     buckets = {(kind, k): int(w[n]) for n, (kind, _, _, k) in enumerate(names) if kind in "LIR"}
     return Model(
@@ -254,7 +340,7 @@ def tag_model(surface: str, rows: list[tuple[list[str | None], list[tuple[str, s
         ids = {k: i for i, k in enumerate(sorted({g for _, f, _ in own for g in f}))}
         idx = np.array([ids[g] for _, f, _ in own for g in f], dtype=np.int64)
         first, count = np.append(0, np.cumsum([len(f) for _, f, _ in own])), np.array([n for _, _, n in own], dtype=float)
-        ws = np.array([solve(first, idx, np.ones(len(idx)), np.array([1.0 if t == name else -1.0 for t, _, _ in own]), len(ids), config.solver, config.cost, config.eps, count) for name in names])
+        ws = solve(first, idx, np.ones(len(idx)), np.array([names.index(t) for t, _, _ in own]), len(names), len(ids), config.solver, config.cost, config.eps, count)
         q, _ = quantised(ws, 1e-6)
         for g, i in ids.items():
             grams.setdefault(g, [0] * len(bias)).extend([0] * (len(bias) - len(grams.get(g, []))))

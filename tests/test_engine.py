@@ -120,7 +120,7 @@ def test_lines(spark, tmp_path):
     assert [r.line for r in text.read_lines(spark, str(tmp_path / "a.txt")).collect()] == ["one", "two\rthree", "", "four"]
 
 
-@pytest.mark.parametrize("solver", [0, 1, 3, 5, 6])
+@pytest.mark.parametrize("solver", [0, 1, 3, 4, 5, 6])
 def test_training_segments_its_corpus(spark, solver):
     lines = ["まぁ/副詞 社長/名詞 は/助詞 火星/名詞 猫/名詞 だ/助動詞", "火星/名詞 猫/名詞 の/助詞 生態/名詞", "猫/名詞 は/助詞 は/動詞 は/助詞 だ/助動詞"]
     corpus = [S.parse_tokenized(x) for x in lines]
@@ -132,6 +132,47 @@ def test_training_segments_its_corpus(spark, solver):
     assert max(abs(w) for _, ws in model.char_ngrams for w in ws) <= train.QUANTUM
 
 
+def test_sums_of_executors_are_those_of_the_driver(spark):
+    corpus = [S.parse_tokenized(x) for x in ("まぁ 社長 は 火星 猫 だ", "火星 猫 の 生態")]
+    names, rows = train.instances(train.sentences_table(spark, corpus), None, train.Config())
+    here, there, n = train.products(*train.arrays(rows.toArrow())), train.spread_products(rows.repartition(3)), names.count()
+    u = np.random.default_rng(5).normal(size=(n + 1, 2))
+    for f in (train.slopes("multiclass hinge"), lambda z, cls, count: count[:, None] * z):
+        assert np.abs(here(u, f) - there(u, f)).max() < 1e-5
+    assert (there(u, f) == train.spread_products(rows.coalesce(1))(u, f)).all()
+
+
+def test_training_on_executors(spark):
+    corpus = [S.parse_tokenized(x) for x in ("あい う", "う あい")]
+    models = [train.train(spark, corpus, config=train.Config(char_window=1, char_n=1, type_window=0, solver=1, eps=10.0, driver_entries=k)) for k in (0, 10_000)]
+    assert models[0].char_ngrams and models[0].bias == pytest.approx(models[1].bias, abs=2)
+    for (a, x), (b, y) in zip(models[0].char_ngrams, models[1].char_ngrams, strict=True):
+        assert a == b and x == pytest.approx(y, abs=2)
+
+
+def test_multiclass_hinge_is_joint():
+    rng = np.random.default_rng(0)
+    x = (rng.random((120, 12)) < 0.3).astype(float)
+    cls = (x @ rng.normal(size=(12, 3))).argmax(axis=1)
+    first, idx = np.append(0, np.cumsum((x > 0).sum(axis=1))), np.nonzero(x)[1]
+    w = train.solve(first, idx, np.ones(len(idx)), cls, 3, 12, 4, 1.0, 0.001)
+
+    def loss(w):
+        z = x @ w[:, :-1].T + w[:, -1]
+        return 0.5 * (w**2).sum() + ((z + 1 - np.eye(3)[cls]).max(axis=1) - z[np.arange(120), cls]).sum()
+
+    assert np.abs(w.sum(axis=0)).max() < 1e-6  # no class is favoured as a whole
+    assert min(loss(w + rng.normal(size=w.shape) * s) for s in (0.001, 0.01, 0.1) for _ in range(100)) > 0.998 * loss(w)
+    apart = train.solve(first, idx, np.ones(len(idx)), cls, 3, 12, 3, 1.0, 0.001)
+    assert loss(w) < loss(apart)
+
+
+def test_unknown_marks_as_a_class(spark):
+    corpus = [S.parse_partial("あ|い-う い|う")]
+    plain, third = (train.train(spark, corpus, config=train.Config(solver=4, cost=10.0, unknown_as_class=k)) for k in (False, True))
+    assert plain.char_ngrams != third.char_ngrams
+
+
 def test_training_errors(spark):
     with pytest.raises(ValueError):
         train.train(spark, [S.parse_tokenized("一語")])
