@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_dir, table  # noqa: F401
+from ..sources.tables import shared_dir, table, written  # noqa: F401
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -119,21 +119,6 @@ def grams(t: Tokens, n: int = 3) -> list[np.ndarray]:
     return out
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors. The shuffle files behind it go as soon as it is written."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
     """At most rows labelled documents, in the order of a hash of doc_id: (doc_id, text, lang, source, y). A document whose labels disagree has the larger one. Only the labels drawn, a number that rows bounds, are broadcast."""
     picked = (
