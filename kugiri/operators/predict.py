@@ -71,13 +71,43 @@ class Trie:
                 scores += np.bincount(target[ok], weights=self.weight[k[ok]], minlength=len(scores)).astype(np.int64)  # whole numbers below 2**53: exact
 
 
+#: The widest window of types that has a table: 8 ** 6 whole numbers, 2 MB.
+TABLE_WINDOW = 3
+
+
+class Windows:
+    """The summed weights of all patterns for each window of types, by the window as an octal number; 0 is no character."""
+
+    def __init__(self, patterns: list[tuple[tuple[int, ...], int, list[int]]], window: int):
+        self.window = window
+        table = np.zeros((8,) * (2 * window), dtype=np.int64)
+        for letters, offset, weights in patterns:
+            for k, w in enumerate(weights):
+                table[(slice(None),) * (window - 1 - offset - k) + letters] += w
+        self.score = table.ravel()
+
+    @staticmethod
+    def fit(patterns: list[tuple[tuple[int, ...], int, list[int]]], window: int) -> bool:
+        """Whether all weights are of patterns within the window."""
+        return 0 < window <= TABLE_WINDOW and all(len(g) <= window - 1 - o - k + len(g) <= 2 * window for g, o, w in patterns for k in range(len(w)))
+
+    def add(self, letters: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray, scores: np.ndarray) -> None:
+        """As a trie's."""
+        padded = np.pad(letters.astype(np.int64), self.window)
+        at, lo, hi = np.arange(len(letters)), first[of], last[of]
+        code = np.zeros(len(letters), dtype=np.int64)
+        for i in range(1 - self.window, self.window + 1):
+            code = code << 3 | np.where((at + i >= lo) & (at + i < hi), padded[self.window + i :][: len(at)], 0)
+        scores += np.where(at < hi - 1, self.score[code], 0)
+
+
 @dataclass
 class Compiled:
     """A model made ready: what is broadcast."""
 
     bias: int
     char: Trie
-    type: Trie
+    type: Trie | Windows | None
     tags: dict
     n_tags: int
 
@@ -88,7 +118,8 @@ class Compiled:
         char = [(tuple(map(ord, g)), len(g) - 1 - w, x) for g, x in m.char_ngrams] + [(tuple(map(ord, d)), -1, x) for d, x, _ in m.dictionary] if has_char else []
         types = [(tuple(map(int, g)), len(g) - 1 - v, x) for g, x in m.type_ngrams] if has_type else []
         tags = {t.token: (t.tags, t.bias, t.char_ngrams if has_char else [], t.type_ngrams if has_type else []) for t in m.tag_models}
-        return Compiled(m.bias, Trie(char), Trie(types), tags, max([0, *(len(t.tags) for t in m.tag_models)]))
+        by_type = None if not types else Windows(types, v) if Windows.fit(types, v) else Trie(types)
+        return Compiled(m.bias, Trie(char), by_type, tags, max([0, *(len(t.tags) for t in m.tag_models)]))
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(scores by position, first of each text, end of each text, code points)."""
@@ -99,7 +130,7 @@ class Compiled:
         of = np.repeat(np.arange(len(n)), n)
         out = np.full(len(points), self.bias, dtype=np.int64)
         self.char.add(points, of, last - n, last, out)
-        if len(self.type.key):
+        if self.type:
             self.type.add(types_of(points), of, last - n, last, out)
         return out, last - n, last, points
 

@@ -132,6 +132,21 @@ def test_training_segments_its_corpus(spark, solver):
     assert max(abs(w) for _, ws in model.char_ngrams for w in ws) <= train.QUANTUM
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 3), st.lists(st.lists(st.integers(1, 6), max_size=9), max_size=6), st.integers(0, 1 << 30))
+def test_table_of_type_windows_is_the_trie(window, texts, seed):
+    rng = np.random.default_rng(seed)
+    grams = {tuple(rng.integers(1, 7, rng.integers(1, 2 * window + 1)).tolist()) for _ in range(12)}
+    patterns = [(g, len(g) - 1 - window, rng.integers(-9, 9, 2 * window - len(g) + 1).tolist()) for g in sorted(grams)]
+    assert predict.Windows.fit(patterns, window)
+    n = np.array([len(t) for t in texts], dtype=np.int64)
+    letters, last, of = np.array([x for t in texts for x in t], dtype=np.int64), np.cumsum(n), np.repeat(np.arange(len(n)), n)
+    got, want = np.zeros(len(letters), dtype=np.int64), np.zeros(len(letters), dtype=np.int64)
+    predict.Windows(patterns, window).add(letters, of, last - n, last, got)
+    predict.Trie(patterns).add(letters, of, last - n, last, want)
+    assert got.tolist() == want.tolist()
+
+
 def test_sums_of_executors_are_those_of_the_driver(spark):
     corpus = [S.parse_tokenized(x) for x in ("まぁ 社長 は 火星 猫 だ", "火星 猫 の 生態")]
     names, rows = train.instances(train.sentences_table(spark, corpus), None, train.Config())
