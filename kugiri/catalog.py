@@ -16,7 +16,7 @@ from .operators import evaluate, filters, predict, segment, train
 from .operators.model import Model, TagModel, dump_dictionary, load_dictionary
 from .plans import pipeline
 from .sources import binary, text
-from .sources.tables import shared_dir, table
+from .sources.tables import shared_dir, sized, table
 from .streaming import stream
 
 QUERIES: dict = {}
@@ -280,7 +280,7 @@ def dict_match(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in _words], "word string")
     each = table(spark, sf_dir, "documents").where("text <> ''").select(chars(F.col("text")).alias("c"))
     subs = F.concat(*(ngrams(F.col("c"), k) for k in sorted({len(w) for w in _words})))
-    return each.select(F.explode(subs).alias("word")).join(words, "word").groupBy("word").agg(F.count("*").alias("n"))
+    return each.select(F.explode(subs).alias("word")).join(sized(words), "word").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def _weights_sql(m: Model) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chars import CODES, RANGES
+from ..sources.tables import sized
 
 
 def _paired(chars: Column, boundaries: Column, rule) -> Column:
@@ -50,7 +51,7 @@ def chain(chars: Column, boundaries: Column, codes: str, breaks: bool = False) -
 
 
 def pattern_tags(tokens: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens with the null tags of those whose surface has a rule filled from it. rules: (surface, tags), surfaces distinct. Spark broadcasts the rules where their size is below its threshold, else both sides are shuffled by surface."""
+    """tokens with the null tags of those whose surface has a rule filled from it. rules: (surface, tags), surfaces distinct. Rules of a small measured size are broadcast, else both sides are shuffled by surface."""
     some = rules.select(F.col("surface"), F.col("tags").alias("rule"))
     filled = F.transform(F.col("tags"), lambda t, i: F.coalesce(t, F.get(F.col("rule"), i)))
-    return tokens.join(some, "surface", "left").withColumn("tags", filled).drop("rule")
+    return tokens.join(sized(some), "surface", "left").withColumn("tags", filled).drop("rule")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import char_type, chars, code_points, ngrams, types_of
 from ..operators.model import Model
+from ..sources.tables import sized
 
 
 class Trie:
@@ -244,10 +245,10 @@ def exploded_scores(docs: DataFrame, model_tables: dict[str, DataFrame], bias: i
     every = base.select("doc_id", F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("b"))
     if not lengths:
         return every.select("doc_id", "b", F.lit(bias).cast("long").alias("score"))
-    # one scan: the substrings of all lengths together, joined before anything is shuffled where the patterns are small enough for Spark to broadcast
+    # one scan: the substrings of all lengths together, joined before anything is shuffled where the patterns are small
     of = lambda k, n: F.transform(ngrams(F.col("c" if k == "c" else "t"), n), lambda g, i: F.struct(F.lit(k).alias("kind"), i.alias("s"), g.alias("g")))
     occurrences = base.select("doc_id", F.size("c").alias("n"), F.explode(F.concat(*(of(k, n) for k, n in lengths))).alias("x")).select("doc_id", "n", "x.*")
-    hits = occurrences.join(patterns, ["kind", "g"]).select("doc_id", "n", "s", "o", F.posexplode("weights").alias("k", "w"))
+    hits = occurrences.join(sized(patterns), ["kind", "g"]).select("doc_id", "n", "s", "o", F.posexplode("weights").alias("k", "w"))
     # every boundary has its bias as one more summand, so that one shuffle gives boundaries with and without matches
     added = hits.select("doc_id", (F.col("s") + F.col("o") + F.col("k")).alias("b"), F.col("w").cast("long").alias("w"), "n").where("b between 0 and n - 2").select("doc_id", "b", "w")
     return every.withColumn("w", F.lit(bias).cast("long")).unionByName(added).groupBy("doc_id", "b").agg(F.sum("w").alias("score"))

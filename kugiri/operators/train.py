@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import char_type, chars, code_points, ngrams, types_of
 from ..functions.sentence import SENTENCE, Sentence
-from ..sources.tables import written
+from ..sources.tables import sized, written
 from ..sources.text import default_tag_rows
 from .model import Model, TagModel
 
@@ -72,7 +72,7 @@ def dict_features(df: DataFrame, key: str, text: Column, words: DataFrame, dict_
     base = df.where(F.length(text) > 0).select(F.col(key), chars(text).alias("_c")).withColumn("_n", F.size("_c"))
     of = lambda k: F.transform(ngrams(F.col("_c"), k), lambda g, i: F.struct(i.alias("s"), (i + k).alias("e"), g.alias("word")))
     hit = base.select(key, "_n", F.explode(F.concat(*map(of, lengths))).alias("_x")).select(key, "_n", "_x.*")
-    hit = hit.join(words.select("word").distinct(), "word")
+    hit = hit.join(sized(words.select("word").distinct()), "word")
     cell = lambda b, kind: F.struct(b.cast("int").alias("b"), F.lit(kind).alias("kind"))
     s, e = F.col("s"), F.col("e")
     none = F.array().cast("array<struct<b int, kind string>>")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A table of one file up to this size may have a single row group, which one task reads: its rows are dealt out.
 SMALL_FILE = 256 << 20
@@ -22,6 +23,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.repartition(sc.defaultParallelism) if status.isFile() and (1 << 20) < status.getLen() < SMALL_FILE else df
 
 
+#: The most that is broadcast for a join, by its measured size.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, to be broadcast in a join if its rows as text take BROADCAST_BYTES at most. A larger one is joined by shuffles, whose skewed parts Spark splits."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first().n or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that all executors share, spark.checkpoint.dir. Where the session names none, a local one is made, for a session that runs in this process alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kugiri.catalog import GOLDENS, LATIN, SPEC
 from kugiri.functions import sentence as S
 from kugiri.functions.chars import FULLWIDTH, char_type, code_points, fullwidth, type_string, types_of, widened
-from kugiri.operators import predict, train
+from kugiri.operators import filters, predict, train
 from kugiri.operators.model import Model, TagModel
 from kugiri.plans import pipeline
 from kugiri.sources import binary, text
@@ -292,3 +292,19 @@ def test_rules_in_one_pass_are_the_chain(spark):
             assert all(r.x == r.y for r in rows if r.y is not None) and rows[3].x is None and rows[2].x == []
     with pytest.raises(ValueError):
         segment.rule_token_array(F.col("t"), "G")
+
+
+def test_small_sides_are_broadcast_by_their_size(spark, monkeypatch):
+    from kugiri.sources import tables
+
+    tokens = spark.createDataFrame([("この", [None]), ("は", [None])], "surface string, tags array<string>")
+    rules = spark.createDataFrame([("は", ["助詞"])], "surface string, tags array<string>")
+    plans, rows = [], []
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(tables, "BROADCAST_BYTES", most)
+        got = filters.pattern_tags(tokens, rules)
+        plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+        rows.append(sorted(tuple(r) for r in got.select("surface", F.get("tags", F.lit(0))).collect()))
+    assert rows[0] == rows[1] == [("この", None), ("は", "助詞")]
+    assert "broadcast" in plans[0] and "broadcast" not in plans[1]
+    assert tables.sized(rules.limit(0)).count() == 0
