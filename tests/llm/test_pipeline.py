@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from kugiri.llm import core, packing
 
@@ -30,6 +32,16 @@ def test_stages(spark, docs, labels, tmp_path):
     assert {r.doc_id for r in got} == {r.doc_id for r in df.collect() if r.text and r.text.strip("!? ")}
 
 
+def test_stages_with_clashing_columns(spark, docs, clashing, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    more = clashing.select("*", *(F.lit("x").alias(c) for c in ("a", "b", "class_id", "n_links", "good", "s", "family")))
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, more, str(tmp_path))
+        assert got.columns == more.columns
+        kept = lambda df: sorted(repr((r.doc_id, r.text and r.text[:80])) for r in df.select("doc_id", "text").collect())
+        assert kept(got) == kept(stage(spark, docs, str(tmp_path)))
+
+
 def test_empty_tables(spark, none, tmp_path):
     none[0].write.parquet(f"{tmp_path}/documents.parquet")
     none[1].write.parquet(f"{tmp_path}/labels.parquet")

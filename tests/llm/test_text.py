@@ -107,6 +107,13 @@ def test_turn_rows(spark):
     assert chat.canonical(df.where("1 = 0")).count() == 0
 
 
+def test_long_turns_are_whole(spark):
+    text = "wörd " * 300_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text + "b"), (1, 1, "assistant", text + "b")], "conv_id long, turn long, role string, text string")
+    (row,) = chat.canonical(df).collect()
+    assert [(t.role, t.content) for t in row.turns] == [("user", text), ("assistant", text + "b")]
+
+
 @pytest.mark.parametrize("extra", [("content",), ("system",), ("prompt", "completion"), ("instruction", "input", "output", "system"), ("layout", "turns", "chat", "t", "some", "roles", "n_turns")])
 def test_turn_rows_with_clashing_columns(spark, tmp_path, extra):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "Human", "z"), (4, None, None, None)]

@@ -1,3 +1,5 @@
+import random
+
 from kugiri.llm import toxicity as T
 
 
@@ -120,3 +122,15 @@ def test_states_are_made_again_when_they_are_forgotten(monkeypatch):
 def test_the_scorer_runs_once(docs, labels):
     plan = T.toxicity(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_window_scores_against_a_loop():
+    rng = random.Random(3)
+    s = T.Scorer([("idiot", False), ("worthless", False)], [], frozenset())
+    weight = {"idiot": 1.0, "worthless": 1.0, "worthles": 0.7, "idiott": 0.7, "wrthles": 0.4}
+    for n in (0, 1, T.WINDOW - 1, T.WINDOW, T.WINDOW + 1, 300, 1000):
+        for dense in (0.01, 0.1, 0.9):
+            w = [rng.choice(list(weight)) if rng.random() < dense else rng.choice(["stone", "plain", "field"]) for _ in range(n)]
+            sums = [sum(weight.get(x, 0) for x in w[i : i + T.WINDOW]) for i in range(len(w))]
+            score, hits, quoted = s.score(" ".join(w))
+            assert abs(score - max(sums, default=0)) < 1e-5 and hits == sum(x in weight for x in w) and quoted == 0
