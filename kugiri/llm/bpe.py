@@ -117,7 +117,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> D
 
     def run(texts: pa.Array) -> pa.Array:
         codec = get()
-        return lists([None if t is None else np.array(codec.encode(t), dtype=np.int32) for t in map(pa.Scalar.as_py, texts)])
+        return lists([None if t is None else np.array(codec.encode(t), dtype=np.int32) for t in (x.as_py() for x in texts)])
 
     got = docs.select("doc_id", F.arrow_udf(run, "array<int>")(F.col("text").cast("string")).alias("tokens"))
     return got.withColumn("n_tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")))
@@ -142,7 +142,7 @@ def op8_bpe(spark, sf_dir: str) -> DataFrame:
         codec = get()
         got: list[np.ndarray | None] = []
         same: list[bool | None] = []
-        for t in map(pa.Scalar.as_py, texts):  # one text's lists at a time: of a batch only packed numbers are held
+        for t in (x.as_py() for x in texts):  # one text's lists at a time: of a batch only packed numbers are held
             tokens = None if t is None else codec.encode(t)
             same.append(None if t is None else codec.decode(tokens) == t)
             got.append(None if t is None else np.array(tokens, dtype=np.int32))
