@@ -31,7 +31,7 @@ from . import core
 from .html import Block, Media, read
 
 ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("tag", pa.string()), ("src", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("mime", pa.string()), ("size", pa.int64())])
-SCHEMA = "page_id long, url string, page string, items array<struct<pos int, kind string, text string, tag string, src string, digest string, caption string, mime string, size long>>"
+SCHEMA = "page_id long, url string, page binary, items array<struct<pos int, kind string, text string, tag string, src string, digest string, caption string, mime string, size long>>"
 
 
 def data_url(src: str) -> tuple[str, bytes] | None:
@@ -85,8 +85,9 @@ def items(html: str, url: str | None, payloads: dict[str, tuple[str, bytes]] | N
     return out
 
 
-def page_key(url: str | None, html: str | None) -> str:
-    return hashlib.sha256(f"{url}\0{html}".encode("utf-8", "replace")).hexdigest()
+def page_key(url: str | None, html: str | None) -> bytes:
+    """128 bits: what moves with each page and each reference is kept short."""
+    return hashlib.sha256(f"{url}\0{html}".encode("utf-8", "replace")).digest()[:16]
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,26 +95,26 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
         name = [page_key(u, h) for u, h in rows]
         got = [None if h is None else items(h, u) for u, h in rows]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(name), pa.array(got, pa.list_(ITEM))], ["page_id", "url", "page", "items"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(name, pa.binary()), pa.array(got, pa.list_(ITEM))], ["page_id", "url", "page", "items"])
 
 
 def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The media items of pages, without what they say."""
+    """The media items of pages, without what they say; digests as bytes."""
     names = ["page", "pos", "digest", "mime", "size"]
     for b in batches:
-        got = [(page_key(u, h), x["pos"], x["digest"], x["mime"], x["size"]) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) for x in items(h, u) if x["kind"] == "media"]
+        got = [(page_key(u, h), x["pos"], bytes.fromhex(x["digest"]), x["mime"], x["size"]) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) for x in items(h, u) if x["kind"] == "media"]
         columns = list(zip(*got)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.binary(), pa.string(), pa.int64()))], names)
 
 
 def sequences(pages: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
     """(page_id, url, n_items, n_media, n_resolved, items). payloads: (digest, mime, size)."""
     read_ = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     # pages are read twice, which costs less than to keep a copy of all items
-    refs = core.written(read_.where("html is not null").mapInArrow(references, "page string, pos int, digest string, mime string, size long").distinct())
+    refs = core.written(read_.where("html is not null").mapInArrow(references, "page binary, pos int, digest binary, mime string, size long").distinct())
     known = refs.where("size is not null").select("digest", "mime", "size")
     if payloads is not None:
-        known = known.unionByName(payloads.select("digest", "mime", F.col("size").cast("long")))
+        known = known.unionByName(payloads.select(F.unhex("digest").alias("digest"), "mime", F.col("size").cast("long")))
     known = known.groupBy("digest").agg(F.min(F.struct("mime", "size")).alias("payload"))
     found = refs.select("page", "pos", "digest").join(known, "digest").groupBy("page").agg(F.map_from_entries(F.collect_set(F.struct("pos", "payload"))).alias("found"))
 
