@@ -1,53 +1,32 @@
-"""Boundary rewriting: rules over arrays of characters, types and boundaries, all on the JVM."""
+"""Boundary rewriting: rules over characters, types and boundaries, in one pass over Arrow batches."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import CODES, RANGES
 from ..sources.tables import sized
+from .segment import rewritten
 
 
-def _paired(chars: Column, boundaries: Column, rule) -> Column:
-    """rule(left, right, boundary) for each boundary."""
-    pairs = F.arrays_zip(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))).alias("a"), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))).alias("b"), boundaries.alias("m"))
-    return F.transform(pairs, lambda x: rule(x["a"], x["b"], x["m"]))
-
-
-def _of_type(c: Column, kind: int) -> Column:
-    inside = lambda ranges: reduce(lambda x, y: x | y, (F.ascii(c).between(a, b) for a, b in ranges))
-    return inside(RANGES[kind]) if kind in RANGES else ~inside([r for rs in RANGES.values() for r in rs])
+def chain(chars: Column, boundaries: Column, codes: str, breaks: bool = False) -> Column:
+    """The filters that the letters name (G: graphemes); breaks: line breaks first of all. The others only take boundaries away, so their order is of no matter. chars: an array of characters; rewritten() takes the text itself."""
+    return rewritten(F.array_join(chars, ""), boundaries, codes, breaks)
 
 
 def wsconst(chars: Column, boundaries: Column, codes: str) -> Column:
-    """No boundary between two characters of one type that the codes name (D R H T K O); one pass for all of them."""
-    same = lambda a, b: reduce(lambda x, y: x | y, (_of_type(a, CODES[c]) & _of_type(b, CODES[c]) for c in codes))
-    return _paired(chars, boundaries, lambda a, b, m: F.when(same(a, b), F.lit(0)).otherwise(m))
+    """No boundary between two characters of one type that the codes name (D R H T K O)."""
+    return chain(chars, boundaries, codes)
 
 
 def linebreaks(chars: Column, boundaries: Column) -> Column:
     """A boundary before and after each line break."""
-    return _paired(chars, boundaries, lambda a, b, m: F.when(a.isin("\r", "\n") | b.isin("\r", "\n"), F.lit(1)).otherwise(m))
+    return chain(chars, boundaries, "", True)
 
 
 def graphemes(chars: Column, boundaries: Column) -> Column:
     """No boundary inside an extended grapheme cluster."""
-    inside = F.flatten(F.transform(F.regexp_extract_all(F.array_join(chars, ""), F.lit("\\X"), F.lit(0)), lambda g: F.concat(F.array_repeat(F.lit(True), F.length(g) - 1), F.array(F.lit(False)))))
-    return F.zip_with(F.slice(inside, 1, F.greatest(F.size(chars) - 1, F.lit(0))), boundaries, lambda x, m: F.when(x, F.lit(0)).otherwise(m))
-
-
-def chain(chars: Column, boundaries: Column, codes: str, breaks: bool = False) -> Column:
-    """The filters that the letters name, in their order (G: graphemes); breaks: line breaks first of all."""
-    if bad := set(codes) - set(CODES) - {"G"}:
-        raise ValueError(f"invalid wsconst codes: {''.join(sorted(bad))}")
-    out = linebreaks(chars, boundaries) if breaks else boundaries
-    # these only take boundaries away, so their order is of no matter among themselves
-    if same := "".join(dict.fromkeys(codes.replace("G", ""))):
-        out = wsconst(chars, out, same)
-    return graphemes(chars, out) if "G" in codes else out
+    return chain(chars, boundaries, "G")
 
 
 def pattern_tags(tokens: DataFrame, rules: DataFrame) -> DataFrame:

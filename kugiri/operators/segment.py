@@ -1,19 +1,19 @@
 """From boundaries to tokens with character and byte offsets.
 
 An expression over arrays that picks by position inside a lambda is evaluated anew for each element, so tokens are cut in Arrow
-batches: linear in the text, without a shuffle, and the same for streams.
+batches: linear in the text, without a shuffle, and the same for streams. A batch is cut in parts of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import CODES, OTHER, code_points, types_of, types_of_wide
+from ..functions.batch import Texts, over_parts
+from ..functions.chars import CODES, OTHER, types_of, types_of_wide
 from ..functions.sentence import NONE, UNKNOWN, WORD
 
 _TOKEN = pa.struct([("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("byte_start", pa.int32()), ("byte_end", pa.int32())])
@@ -30,55 +30,138 @@ def known_spans(n: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def _cut(texts: list[str | None], marks_of: Callable[[int, str], np.ndarray | None]) -> pa.Array:
-    """The tokens of each text; null where it or its marks are null. Surfaces are the bytes of the texts, side by side."""
-    bytes_, numbers, counts, valid = [], [], [], []
-    for i, t in enumerate(texts):
-        marks = None if t is None else marks_of(i, t)
-        valid.append(marks is not None)
-        counts.append(0)
-        if marks is None or not t:
-            continue
-        whole = t.encode()
-        raw = np.frombuffer(whole, dtype=np.uint8)
-        at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-        starts, ends = known_spans(len(t), marks)
-        lo, hi = at[starts], at[ends]
-        bytes_.append(whole if int((hi - lo).sum()) == len(whole) else b"".join(whole[x:y] for x, y in zip(lo.tolist(), hi.tolist())))
-        numbers.append((starts, ends, lo, hi))
-        counts[-1] = len(starts)
-    parts = [np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in numbers)]).astype(np.int32) for k in range(4)]
-    edge = np.append(0, np.cumsum(parts[3] - parts[2], dtype=np.int64)).astype(np.int32)
-    surface = pa.Array.from_buffers(pa.string(), len(parts[0]), [None, pa.py_buffer(edge), pa.py_buffer(b"".join(bytes_))])
-    offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32), mask=np.append(~np.array(valid, dtype=bool), False))
-    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([surface, *map(pa.array, parts)], fields=list(_TOKEN)))
+def _cut(texts: Texts, marks: np.ndarray) -> pa.Array:
+    """The tokens of each text; of a null one null. marks: for each character that of the boundary behind it."""
+    word = marks == WORD
+    word[texts.ends] = True
+    ends = np.flatnonzero(word) + 1
+    starts = np.append(0, ends)[:-1]
+    count = np.append(0, np.cumsum(word))
+    low, high = texts.at[starts], texts.at[ends]
+    surface = pa.Array.from_buffers(pa.string(), len(ends), [None, pa.py_buffer(np.append(low, len(texts.raw)).astype(np.int32)), pa.py_buffer(texts.raw.tobytes())])
+    before = count[np.append(texts.first, len(word))]
+    if (marks == UNKNOWN).any():
+        inside = np.append(0, np.cumsum(marks == UNKNOWN))
+        known = inside[ends - 1] == inside[starts]
+        before = np.append(0, np.cumsum(known))[before]
+        starts, ends, low, high, surface = starts[known], ends[known], low[known], high[known], surface.filter(pa.array(known))
+    n = np.diff(before)
+    from_char, from_byte = np.repeat(texts.first, n), np.repeat(texts.edge[:-1], n)
+    numbers = [pa.array(x.astype(np.int32)) for x in (starts - from_char, ends - from_char, low - from_byte, high - from_byte)]
+    offsets = pa.array(before.astype(np.int32), mask=None if texts.valid.all() else np.append(~texts.valid, False))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([surface, *numbers], fields=list(_TOKEN)))
 
 
 TOKENS = "array<struct<surface string, start int, end int, byte_start int, byte_end int>>"
 
 
+def marked(texts: pa.Array, marks: pa.Array) -> tuple[Texts, np.ndarray]:
+    """Texts and the marks of their boundaries, those with null marks as null ones."""
+    if marks.null_count:
+        texts = pa.compute.if_else(marks.is_valid(), texts, pa.scalar(None, texts.type))
+    if texts.null_count:
+        marks = pa.compute.filter(marks, texts.is_valid())
+    t = Texts(texts)
+    return t, t.spread(marks)
+
+
 def token_array(text: Column, boundaries: Column) -> Column:
     """(surface, start, end, byte_start, byte_end) of each token between word boundaries, those that hold an unknown mark left out; null where either is null, none of an empty text."""
+    return over_parts(lambda texts, marks: _cut(*marked(texts, marks)), TOKENS, text, boundaries)
 
-    def run(texts: pa.Array, marks: pa.Array) -> pa.Array:
-        return _cut(texts.to_pylist(), lambda i, _: marks[i].values.to_numpy(zero_copy_only=False) if marks[i].is_valid else None)
 
-    return F.arrow_udf(run, TOKENS)(text, boundaries)
+def joined(text: Column, boundaries: Column) -> Column:
+    """The tokens of a text, blanks, backslashes and slashes escaped, apart by blanks; null where either is null. Without unknown marks."""
+
+    def run(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        t, m = marked(texts, marks)
+        return t.joined(m == WORD)
+
+    return over_parts(run, "string", text, boundaries)
+
+
+class Rules:
+    """The rules that letters name, on marks. D R H T K O: no boundary between two characters of this type; G: none inside a grapheme cluster; breaks: first of all one before and after each line break. wide: types are those of the full-width text."""
+
+    def __init__(self, codes: str, breaks: bool = False, wide: bool = False):
+        if bad := set(codes) - set(CODES) - {"G"}:
+            raise ValueError(f"invalid wsconst codes: {''.join(sorted(bad))}")
+        self.clusters, self.breaks, self.wide = "G" in codes, breaks, wide
+        self.same = np.zeros(OTHER + 1, dtype=bool)
+        self.same[[CODES[c] for c in codes if c != "G"]] = True
+
+    def sources(self, text: Column) -> list[Column]:
+        """What apply() needs besides: the lengths of the clusters of a text that may have some of several characters. Below U+0300 only a line break has."""
+        lengths = F.transform(F.regexp_extract_all(text, F.lit("\\X"), F.lit(0)), F.length)
+        return [F.when(text.rlike("\\r\\n|[^\\x{0}-\\x{2FF}]"), lengths)] if self.clusters else []
+
+    def apply(self, t: Texts, marks: np.ndarray | None = None, clusters: pa.Array | None = None) -> np.ndarray:
+        """The marks of the boundary behind each character; from all boundaries where none are given."""
+        marks = np.full(len(t.points), WORD, dtype=np.int8) if marks is None else marks
+        if self.breaks:
+            at = (t.points == 10) | (t.points == 13)
+            marks[:-1][at[:-1] | at[1:]] = WORD
+        if self.same.any():
+            kind = (types_of_wide if self.wide else types_of)(t.points)
+            marks[:-1][(kind[1:] == kind[:-1]) & self.same[kind[1:]]] = NONE
+        if clusters is not None and len(length := clusters.flatten()):
+            some = np.flatnonzero(np.repeat(clusters.is_valid().to_numpy(zero_copy_only=False), t.last - t.first))
+            inside = np.ones(len(some), dtype=bool)
+            inside[np.cumsum(length.to_numpy(zero_copy_only=False)) - 1] = False
+            marks[some[inside]] = NONE
+        marks[t.ends] = NONE
+        return marks
 
 
 def rule_token_array(text: Column, codes: str, wide: bool = False) -> Column:
     """token_array() of all boundaries but those between two characters of one type that the codes name (D R H T K O), without arrays of characters and marks on the way. wide: types are those of the full-width text."""
-    if bad := set(codes) - set(CODES):
-        raise ValueError(f"invalid wsconst codes: {''.join(sorted(bad))}")
-    joined = np.zeros(OTHER + 1, dtype=bool)
-    joined[[CODES[c] for c in codes]] = True
-    types = types_of_wide if wide else types_of
+    if "G" in codes:
+        raise ValueError("invalid wsconst codes: G")
+    rules = Rules(codes, wide=wide)
+
+    def run(texts: pa.Array) -> pa.Array:
+        t = Texts(texts)
+        return _cut(t, rules.apply(t))
+
+    return over_parts(run, TOKENS, text)
+
+
+def rule_boundaries(text: Column, codes: str, breaks: bool = False) -> Column:
+    """All boundaries but those that the rules take away, array<int>."""
+    rules = Rules(codes, breaks)
+
+    def run(texts: pa.Array, *clusters: pa.Array) -> pa.Array:
+        t = Texts(texts)
+        return t.listed(rules.apply(t, None, *clusters).astype(np.int32))
+
+    return over_parts(run, "array<int>", text, *rules.sources(text))
+
+
+def rewritten(text: Column, boundaries: Column, codes: str, breaks: bool = False) -> Column:
+    """The boundaries of a text after the rules; null where either is null."""
+    rules = Rules(codes, breaks)
+
+    def run(texts: pa.Array, marks: pa.Array, *clusters: pa.Array) -> pa.Array:
+        t, m = marked(texts, marks)
+        if clusters and not t.valid.all():
+            clusters = (pa.compute.if_else(pa.array(t.valid), clusters[0], pa.scalar(None, clusters[0].type)),)
+        return t.listed(rules.apply(t, m, *clusters).astype(np.int32))
+
+    return over_parts(run, "array<int>", text, boundaries, *rules.sources(text))
+
+
+def rule_words(text: Column, codes: str, breaks: bool = False) -> Column:
+    """struct<tokenized, n_tokens> of the tokens by rules, as joined(): one pass over the bytes, no array of tokens."""
+    rules = Rules(codes, breaks)
 
-    def marks(_: int, t: str) -> np.ndarray:
-        k = types(code_points(t))
-        return np.where((k[1:] == k[:-1]) & joined[k[1:]], NONE, WORD)
+    def run(texts: pa.Array, *clusters: pa.Array) -> pa.Array:
+        t = Texts(texts)
+        word = rules.apply(t, None, *clusters) == WORD
+        count = np.append(0, np.cumsum(word))
+        n = count[t.last] - count[t.first] + (t.last > t.first)
+        return pa.StructArray.from_arrays([t.joined(word), pa.array(n.astype(np.int64), mask=~t.valid)], ["tokenized", "n_tokens"])
 
-    return F.arrow_udf(lambda texts: _cut(texts.to_pylist(), marks), TOKENS)(text)
+    return over_parts(run, "struct<tokenized string, n_tokens long>", text, *rules.sources(text))
 
 
 def spans(n: Column, boundaries: Column) -> Column:

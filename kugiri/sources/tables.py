@@ -27,10 +27,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
+def small(df: DataFrame) -> bool:
+    """Whether its rows as text take BROADCAST_BYTES at most."""
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first().n or 0) <= BROADCAST_BYTES
+
+
 def sized(df: DataFrame) -> DataFrame:
-    """df, to be broadcast in a join if its rows as text take BROADCAST_BYTES at most. A larger one is joined by shuffles, whose skewed parts Spark splits."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first().n or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    """df, to be broadcast in a join if it is small(). A larger one is joined by shuffles, whose skewed parts Spark splits."""
+    return F.broadcast(df) if small(df) else df
 
 
 def shared_dir(spark: SparkSession) -> str:

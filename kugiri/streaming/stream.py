@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import chars
-from ..operators.filters import chain
-from ..operators.segment import rule_token_array, token_rows, token_table
+from ..operators.segment import rule_boundaries, rule_token_array, token_rows, token_table
 from ..sources.tables import shared_dir
 
 
@@ -16,9 +14,7 @@ def rule_tokens(lines: DataFrame, keys: list[str], text: str, codes: str = "DR",
     some = lines.where(F.length(text) > 0)
     if "G" not in codes:  # all boundaries are there from the start, those at line breaks too
         return token_rows(some, keys, rule_token_array(F.col(text), codes))
-    c = chars(F.col(text))
-    ones = F.array_repeat(F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
-    return token_table(some, keys, F.col(text), chain(c, ones, codes, breaks))
+    return token_table(some, keys, F.col(text), rule_boundaries(F.col(text), codes, breaks))
 
 
 def run_to_table(stream: DataFrame) -> DataFrame:
