@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import chars, fullwidth, ngrams
+from ..functions.chars import fullwidth
 from ..functions.sentence import from_tokenized
 from ..operators import predict as P
 from ..operators.evaluate import eval_char, eval_word
-from ..operators.filters import chain
 from ..operators.model import Model
-from ..operators.segment import spans, token_array, token_table
+from ..operators.segment import joined, spans, token_array, token_table
 
 
 #: Begins the names of intermediate columns.
@@ -32,8 +31,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", wsconst: str = ""
     spark, raw = docs.sparkSession, F.col(text)
     ok = (F.length(raw) > 0) & (F.instr(raw, "\0") == 0)
     wide = fullwidth(raw) if norm else raw
-    got = docs.withColumn(OWN + "wide", F.when(ok, wide)).withColumn(OWN + "scores", P.scores(spark, model, F.col(OWN + "wide")))
-    got = got.withColumn("boundaries", chain(chars(F.col(OWN + "wide")), P.boundaries(F.col(OWN + "scores")), wsconst) if wsconst else P.boundaries(F.col(OWN + "scores")))
+    got = docs.withColumn(OWN + "wide", F.when(ok, wide)).withColumn("boundaries", P.marks(spark, model, F.col(OWN + "wide"), wsconst))
     got = got.withColumn(OWN + "tokens", token_array(F.when(ok, raw), F.col("boundaries"))).withColumn("spans", F.transform(OWN + "tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
     n_tags = max([0, *(len(t.tags) for t in model.tag_models)])
     if predict_tags or tag_scores:
@@ -41,11 +39,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", wsconst: str = ""
     if predict_tags:
         mark = lambda tags: F.regexp_replace(F.array_join(F.transform(tags, lambda t: F.concat(F.lit("/"), F.coalesce(_escaped(t), F.lit("")))), ""), "(?<!\\\\)/+$", "")
         words = F.zip_with(OWN + "tokens", "tags", lambda t, tags: F.concat(_escaped(t["surface"]), mark(tags)))
+        whole = F.array_join(words, " ")
     else:
-        words = F.transform(OWN + "tokens", lambda t: _escaped(t["surface"]))
-    got = got.withColumn("tokenized", F.coalesce(F.array_join(words, " "), F.lit("")))
+        whole = joined(F.when(ok, raw), F.col("boundaries"))
+    got = got.withColumn("tokenized", F.coalesce(whole, F.lit("")))
     if scores:
-        got = got.withColumn("score_lines", F.transform(F.arrays_zip(ngrams(chars(F.col(OWN + "wide")), 2).alias("pair"), F.col(OWN + "scores").alias("score")), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x["pair"], F.lit(" "), x["score"].cast("string"))))
+        got = got.withColumn("score_lines", P.score_lines(spark, model, F.col(OWN + "wide")))
     if tag_scores:
         pair = lambda x: F.concat(x["tag"], F.lit(":"), x["score"].cast("string"))
         got = got.withColumn("tag_score_lines", F.zip_with(OWN + "tokens", OWN + "cands", lambda t, c: F.concat(t["surface"], F.array_join(F.transform(c, lambda slot: F.concat(F.lit("\t"), F.array_join(F.transform(slot, pair), ","))), ""))))
@@ -75,6 +74,5 @@ def search_tokens(docs: DataFrame, model: Model, keys: list[str], text: str = "t
     """Tokens for a search index: byte offsets on the text as it is, position, and position_length, the number of the text's tokens. Line breaks are split first, then wsconst; an empty text has no tokens."""
     raw = F.col(text)
     got = docs.where((F.length(raw) > 0) & (F.instr(raw, "\0") == 0))  # on the text: a filter on what is scored would score twice
-    got = got.withColumn(OWN + "wide", fullwidth(raw)).withColumn(OWN + "b", P.boundaries(P.scores(docs.sparkSession, model, F.col(OWN + "wide"))))
-    got = got.withColumn(OWN + "b", chain(chars(F.col(OWN + "wide")), F.col(OWN + "b"), wsconst, breaks=True))
+    got = got.withColumn(OWN + "wide", fullwidth(raw)).withColumn(OWN + "b", P.marks(docs.sparkSession, model, F.col(OWN + "wide"), wsconst, breaks=True))
     return token_table(got, keys, raw, F.col(OWN + "b"), offsets=True)
