@@ -105,10 +105,8 @@ def char_types_golden(spark, sf_dir):
 
 
 def _rules(spark, sf_dir, name: str, key: list[str], codes: str, breaks: bool = False) -> DataFrame:
-    df = table(spark, sf_dir, name).where("text <> ''").withColumn("c", chars(F.col("text")))
-    b = filters.chain(F.col("c"), F.array_repeat(F.lit(1), F.size("c") - 1), codes, breaks)
-    tokens = F.transform(segment.token_array(F.col("text"), F.col("b")), lambda t: F.regexp_replace(t["surface"], "([ \\\\/])", "\\\\$1"))
-    return df.withColumn("b", b).withColumn("t", tokens).select(*key, F.array_join("t", " ").alias("tokenized"), F.size("t").cast("long").alias("n_tokens"))
+    df = table(spark, sf_dir, name).where("text <> ''")
+    return df.select(*key, segment.rule_words(F.col("text"), codes, breaks).alias("x")).select(*key, "x.*")
 
 
 def _rules_sql(name: str, key: str, pattern: str) -> str:
