@@ -276,9 +276,7 @@ _words_sql = "(VALUES " + ", ".join(f"('{w}')" for w in _words) + ") AS d(word)"
 @query("dict_match", f"SELECT word, count(*) AS n FROM (SELECT doc_id, i, c || coalesce(lead(c) OVER w, '') || coalesce(lead(c, 2) OVER w, '') || coalesce(lead(c, 3) OVER w, '') AS g FROM ({exploded('doc_id', 'text', 'documents')}) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) JOIN {_words_sql} ON starts_with(g, word) GROUP BY word")
 def dict_match(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in _words], "word string")
-    each = table(spark, sf_dir, "documents").where("text <> ''").select(chars(F.col("text")).alias("c"))
-    subs = F.concat(*(ngrams(F.col("c"), k) for k in sorted({len(w) for w in _words})))
-    return each.select(F.explode(subs).alias("word")).join(sized(words), "word").groupBy("word").agg(F.count("*").alias("n"))
+    return predict.word_counts(table(spark, sf_dir, "documents"), F.col("text"), words)
 
 
 def _weights_sql(m: Model) -> str:
