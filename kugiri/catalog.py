@@ -584,7 +584,7 @@ WITH m AS (SELECT NOT (a = b AND a IN (1, 2)) AS r, NOT (a = b AND a = 1) AS s F
 k AS (SELECT count(*) FILTER (r AND s) AS tp, count(*) FILTER (NOT r AND NOT s) AS tn, count(*) FILTER (NOT r AND s) AS fp, count(*) FILTER (r AND NOT s) AS fn FROM m),
 p AS (SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM k) SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM p""")
 def eval_char(spark, sf_dir):
-    return evaluate.eval_char(_two_rules(spark, sf_dir), F.col("ref"), F.col("sys"))
+    return evaluate.eval_char_rules(table(spark, sf_dir, "documents").where("text <> ''"), F.col("text"), "DR", "D")
 
 
 _tokens_of = "SELECT doc_id, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY j) AS e, length(x) AS n FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS j FROM (SELECT doc_id, regexp_extract_all(text, '{0}') AS l FROM documents WHERE text <> ''))"
