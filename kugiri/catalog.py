@@ -571,11 +571,6 @@ def assemble_dict(spark, sf_dir):
 # evaluation
 
 
-def _two_rules(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").where("text <> ''").withColumn("c", chars(F.col("text"))).withColumn("all", F.array_repeat(F.lit(1), F.size("c") - 1))
-    return df.select("doc_id", F.size("c").alias("n"), filters.chain(F.col("c"), F.col("all"), "DR").alias("ref"), filters.chain(F.col("c"), F.col("all"), "D").alias("sys"))
-
-
 _pairs_sql = f"SELECT doc_id, {sql_type('c')} AS a, lead({sql_type('c')}) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM ({exploded('doc_id', 'text', 'documents')})"
 
 
@@ -595,7 +590,7 @@ WITH r AS ({_tokens_of.format(f"{DIGITS}|{LETTERS}|(?s:.)")}), s AS ({_tokens_of
 k AS (SELECT (SELECT count(*) FROM r JOIN s USING (doc_id, e, n)) AS n_cor, (SELECT count(*) FROM s) AS n_sys, (SELECT count(*) FROM r) AS n_ref),
 p AS (SELECT *, n_cor / n_sys AS precision, n_cor / n_ref AS recall FROM k) SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM p""")
 def eval_word(spark, sf_dir):
-    return evaluate.eval_word_marks(_two_rules(spark, sf_dir), F.col("n"), F.col("ref"), F.col("sys"))
+    return evaluate.eval_word_rules(table(spark, sf_dir, "documents").where("text <> ''"), F.col("text"), "DR", "D")
 
 
 _eval_lines = ["この 人/名詞/ヒト は 地球/名詞/チキュー 人/名詞/ジン だ", "", "人"]
