@@ -266,7 +266,7 @@ def ngram_char(spark, sf_dir):
 
 @query("ngram_type", f"SELECT g, count(*) AS n FROM (SELECT t || lead(t) OVER w || lead(t, 2) OVER w AS g FROM (SELECT doc_id, i, CAST({sql_type('c')} AS VARCHAR) AS t FROM ({exploded('doc_id', 'text', 'documents')})) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL GROUP BY g")
 def ngram_type(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("length(text) > 2").select(F.explode(ngrams(F.split(type_string(F.col("text")), ""), 3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    return predict.gram_counts(table(spark, sf_dir, "documents"), F.col("text"), [3], types=True)
 
 
 _words = ["the", "tion", "on", "que", "ein", "os", "aa"]
