@@ -231,10 +231,10 @@ def read_lines(spark, sf_dir):
 @query("transfer_documents", f"SELECT doc_id, text, CAST(len(regexp_extract_all(text, '{DIGITS}|{LETTERS}|(?s:.)')) AS BIGINT) AS n_tokens FROM documents WHERE text <> ''")
 def transfer_documents(spark, sf_dir):
     """Boundaries that rules find on the full-width text, on the text as it was."""
-    df = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", S.from_raw(fullwidth(F.col("text"))).alias("s"))
-    c = chars(F.col("s.text"))
-    df = df.withColumn("s", F.col("s").withField("boundaries", filters.chain(c, F.array_repeat(F.lit(1), F.size(c) - 1), "DR"))).withColumn("s", S.transfer(F.col("s"), F.col("text")))
-    return df.select("doc_id", F.col("s.text").alias("text"), (F.size(F.filter("s.boundaries", lambda b: b == 1)) + 1).cast("long").alias("n_tokens"))
+    df = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", fullwidth(F.col("text")).alias("wide")).withColumn("b", segment.rule_boundaries(F.col("wide"), "DR"))
+    df = df.select("doc_id", S.transfer(F.struct(F.col("wide").alias("text"), F.col("b").alias("boundaries")), F.col("text")).alias("s"))
+    # the marks are 0 and 1
+    return df.select("doc_id", F.col("s.text").alias("text"), (F.size(F.array_remove("s.boundaries", 0)) + 1).cast("long").alias("n_tokens"))
 
 
 @query("transfer_unlike", literal(["id", "text"], [(0, "ab"), (1, None)]))
@@ -536,8 +536,7 @@ def train_tag(spark, sf_dir):
 def train_documents(spark, sf_dir):
     """Boundaries that a rule gives, learnt from the table of benchmark texts: the model gives every one of them again."""
     df = table(spark, sf_dir, "benchmark").where("text <> ''").select(F.col("item_id").alias("line"), S.from_raw(F.col("text")).alias("s"))
-    c = chars(F.col("s.text"))
-    corpus = df.withColumn("s", F.col("s").withField("boundaries", filters.chain(c, F.array_repeat(F.lit(1), F.size(c) - 1), "R")))
+    corpus = df.withColumn("s", F.col("s").withField("boundaries", segment.rule_boundaries(F.col("s.text"), "R")))
     model = train.train(spark, corpus, config=train.Config(char_window=1, char_n=1, type_window=1, type_n=2, cost=10.0, eps=0.001))
     got = corpus.select("s", predict.boundaries(predict.scores(spark, model, F.col("s.text"))).alias("b"))
     wrong = F.size(F.filter(F.zip_with("s.boundaries", "b", lambda x, y: x != y), lambda x: x))
