@@ -261,7 +261,7 @@ def substrings(spark, sf_dir):
 
 @query("ngram_char", f"SELECT g, count(*) AS n FROM (SELECT c || lead(c) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM ({exploded('doc_id', 'text', 'documents')})) WHERE g IS NOT NULL GROUP BY g")
 def ngram_char(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("length(text) > 1").select(F.explode(ngrams(chars(F.col("text")), 2)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    return predict.gram_counts(table(spark, sf_dir, "documents"), F.col("text"), [2])
 
 
 @query("ngram_type", f"SELECT g, count(*) AS n FROM (SELECT t || lead(t) OVER w || lead(t, 2) OVER w AS g FROM (SELECT doc_id, i, CAST({sql_type('c')} AS VARCHAR) AS t FROM ({exploded('doc_id', 'text', 'documents')})) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL GROUP BY g")
