@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .functions import sentence as S
-from .functions.chars import char_type, chars, fullwidth, ngrams, sql_fullwidth, sql_type, type_string
+from .functions.chars import char_type, chars, fullwidth, sql_fullwidth, sql_type, type_string
 from .operators import evaluate, filters, predict, segment, train
 from .operators.model import Model, TagModel, dump_dictionary, load_dictionary
 from .plans import pipeline
 from .sources import binary, text
-from .sources.tables import shared_dir, sized, table
+from .sources.tables import shared_dir, table
 from .streaming import stream
 
 QUERIES: dict = {}
@@ -134,9 +134,8 @@ SELECT conv_id, turn, CAST(pos AS INT) AS pos, surface, CAST("end" - length(surf
 
 @query("tok_offsets", _span_sql)
 def tok_offsets(spark, sf_dir):
-    df = table(spark, sf_dir, "conversations").where("text <> ''").withColumn("c", chars(F.col("text")))
-    df = df.withColumn("b", filters.chain(F.col("c"), F.array_repeat(F.lit(1), F.size("c") - 1), "DR"))
-    return segment.token_table(df, ["conv_id", "turn"], F.col("text"), F.col("b"), offsets=True)
+    df = table(spark, sf_dir, "conversations").where("text <> ''")
+    return segment.token_rows(df, ["conv_id", "turn"], segment.rule_token_array(F.col("text"), "DR"), offsets=True)
 
 
 @query("stream_tokens", f"SELECT conv_id, turn, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS surface FROM (SELECT conv_id, turn, regexp_extract_all(text, '{DIGITS}|{LETTERS}|(?s:.)') AS l FROM conversations WHERE text <> '')")
