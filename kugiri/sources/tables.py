@@ -6,21 +6,48 @@ import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of one file up to this size may have a single row group, which one task reads: its rows are dealt out.
 SMALL_FILE = 256 << 20
+#: Bytes of files for each task that rows are dealt out to, where that makes more tasks than cores.
+DEALT = 128 << 20
+ROW = "_dealt"
+
+
+def uneven(sc: SparkContext, files: list[tuple[object, int]], cores: int) -> bool:
+    """Whether one row group, which a single task reads, has more than twice a core's share of the files, (path, length) each. Only files of that size are opened, half as many as cores at most, and only their footers are read."""
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    share = 2 * sum(n for _, n in files) / cores
+    for path, n in files:
+        if n > share:
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+            try:
+                if any(b.getCompressedSize() > share for b in reader.getRowGroups()):
+                    return True
+            finally:
+                reader.close()
+    return False
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table, with the partitions of its files; one small file is spread over the cores. The size is asked of the file system, so larger tables are never shuffled for this."""
+    """The table, with the partitions of its files. One small file is spread over the cores, and so is a table of any size whose row groups leave most of them idle. Sizes are asked of the file system and of footers; tables of many row groups are never shuffled for this."""
     path = f"{folder}/{name}.parquet"
     df = spark.read.parquet(path)
     sc = spark.sparkContext
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    status = place.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(place)
-    return df.repartition(sc.defaultParallelism) if status.isFile() and (1 << 20) < status.getLen() < SMALL_FILE else df
+    fs = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    status, cores = fs.getFileStatus(place), sc.defaultParallelism
+    files = [(f.getPath(), f.getLen()) for f in fs.listStatus(place) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    total = sum(n for _, n in files)
+    if status.isFile() and (1 << 20) < total < SMALL_FILE:
+        return df.repartition(cores)
+    if total > 1 << 20 and uneven(sc, files, cores):
+        # by row numbers, which files give again in the same order: repartition(n) alone would sort the rows first
+        return df.withColumn(ROW, F.monotonically_increasing_id()).repartition(max(cores, -(-total // DEALT)), ROW).drop(ROW)
+    return df
 
 
 #: The most that is broadcast for a join, by its measured size.
